@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def _chunks(batches):
     """(salt, text, rid, doc_id, seq): a row per distinct chunk of a slice, with its places."""
     import xxhash
 
-    for number, batch in enumerate(batches):
+    for batch in batches:
         texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
         rids, ids = batch.column("rid").to_numpy(), batch.column("doc_id").to_pylist()
         lo = size = 0
@@ -152,7 +153,7 @@ def _encode_chunks(batches, folder: str, room: int = 64 << 20):
             middle.append(e[1])
             tail.append(e[2])
         seq = batch.column("seq")
-        of = pa.compute.list_parent_indices(seq)
+        of = pc.list_parent_indices(seq)
         yield pa.RecordBatch.from_arrays(
             [batch.column("rid").flatten(), batch.column("doc_id").flatten(), seq.flatten(), pa.array(head, pa.string()).take(of), pa.array(middle, pa.binary()).take(of), pa.array(tail, pa.string()).take(of)],
             names=["rid", "doc_id", "seq", "head", "ids", "tail"],
@@ -179,7 +180,7 @@ def _assemble(batches, folder: str, counts: bool):
     encode = encoder(folder)
     kind = pa.int64() if counts else pa.list_(pa.int32())
 
-    def flush(keys, docs, found):
+    def flush(docs, found):
         if counts:
             values = pa.array([len(x) for x in found], pa.int64())
         else:
@@ -198,9 +199,9 @@ def _assemble(batches, folder: str, counts: bool):
             now, doc = rid, doc_id
             open_chunks.append((head, ids, tail))
         if docs:
-            yield flush(None, docs, found)
+            yield flush(docs, found)
     if now is not None:
-        yield flush(None, [doc], [join_chunks(open_chunks, encode)])
+        yield flush([doc], [join_chunks(open_chunks, encode)])
 
 
 def _tokens(docs: DataFrame, folder: str, counts: bool) -> DataFrame:
