@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.common import table
-from tessera.llm import mixing, spans, tokens
+from tessera.llm import mixing, pii, spans, tokens
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "message"), table(spark, d, "synthetic_rows"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "message"), ["message_content"])
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +36,6 @@ def p9_portions(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_portions(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_mix, p8_shares, p9_found, p9_portions)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p7_ids, p8_mix, p8_shares, p9_found, p9_portions)}
 
 SQL: dict[str, str] = {}
