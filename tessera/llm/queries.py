@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.common import table
-from tessera.llm import mixing, pii, spans, tokens
+from tessera.llm import conversations, mixing, pii, spans, tokens
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuild(table(spark, d, "synthetic_rows"))[1]
+
+
+def p3_turns(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuild(table(spark, d, "synthetic_rows"))[0]
+
+
+def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversations(table(spark, d, "synthetic_rows"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +48,17 @@ def p9_portions(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_portions(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p7_ids, p8_mix, p8_shares, p9_found, p9_portions)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_turns, p3_conversations, p5_found, p5_redacted, p7_ids, p8_mix, p8_shares, p9_found, p9_portions)}
+
+_BLANK = r"[\s\p{Z}\p{Cc}\p{Cf}\x{115F}\x{1160}\x{2800}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}]"
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": rf"""
+with s as (select conversation_id, try_cast(row_id as bigint) as n, lower(regexp_replace(sender_id, '^{_BLANK}+|{_BLANK}+$', '', 'g')) as a, lower(regexp_replace(self_id, '^{_BLANK}+|{_BLANK}+$', '', 'g')) as b,
+    not regexp_matches(text, '^{_BLANK}*$') as t, case when regexp_matches(timestamp, '^(\d{{10}}|\d{{13}})$') then true
+      when regexp_matches(timestamp, '^\d{{4}}([-/])\d{{2}}[-/]\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}(Z|[+-]\d\d:\d\d)?$') then try_cast(substr(replace(replace(timestamp, '/', '-'), 'T', ' '), 1, 19) as timestamp) is not null else false end as ok
+  from synthetic_rows where conversation_id is not null),
+c as (select conversation_id, bool_or(n is null or coalesce(a, '') = '' or coalesce(b, '') = '' or not coalesce(ok, false)) or min(n) <> 1 or max(n) <> count(distinct n) as broken, not bool_or(coalesce(t, false)) as empty,
+    bool_or(t and a <> '' and b <> '' and a = b) and bool_or(t and a <> '' and b <> '' and a <> b) as both_roles from s group by 1)
+select conversation_id, 'broken' as reason from c where broken union all select conversation_id, 'empty' from c where empty union all select conversation_id, 'no_reply' from c where not empty and both_roles is not true""",
+}
