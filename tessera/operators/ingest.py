@@ -74,19 +74,22 @@ def message_parts(df: DataFrame, content: str = "message_content", kind: str = "
     Images (3) and voice (34) have no text; XML app messages (49) are quotes (57), attachments (6), forwards (19) or others. XML that can't be parsed is plain text. Elements
     are taken by pattern from messages that look like XML, with entities resolved; no parser runs and none can fail.
     """
-    raw = F.coalesce(F.col(content), F.lit(""))
-    xml = F.ltrim(raw).startswith("<") & F.rtrim(raw).endswith(">") & raw.rlike("(?s)\\A\\s*<(\\w+)[\\s>].*(</\\1>|/>)\\s*\\z")
+    df = df.withColumn("_raw", F.coalesce(F.col(content), F.lit("")))
+    df = df.withColumn("_xml", F.ltrim("_raw").startswith("<") & F.rtrim("_raw").endswith(">") & F.col("_raw").rlike("(?s)\\A\\s*<(\\w+)[\\s>].*(</\\1>|/>)\\s*\\z"))
+    raw, xml = F.col("_raw"), F.col("_xml")
     plain = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
     tag = lambda t: plain(F.regexp_extract(raw, f"(?s)<{t}>(.*?)</{t}>", 1))
-    attr = lambda t, a: plain(F.regexp_extract(raw, f'<{t}\\b[^>]*\\b{a}="([^"]*)"', 1))
-    app = F.when((F.col(kind) == 49) & xml, tag("type"))
+    attr = lambda t, a: F.regexp_extract(raw, f'<{t}\\b[^>]*\\b{a}="([^"]*)"', 1)
+    df = df.withColumn("_app", F.when((F.col(kind) == 49) & xml, tag("type")))
+    app = F.col("_app")
     what = F.when(F.col(kind) == 3, "image").when(F.col(kind) == 34, "voice").when(app == "57", "quote").when(app == "6", "attachment").when(app == "19", "forward").when(app.isNotNull(), "app").otherwise("text")
     d = df.withColumn("_what", what).withColumn("_title", tag("title")).withColumn("_des", tag("des"))
     w = F.col("_what")
     text = F.when(w.isin("image", "voice"), "").when(w.isin("quote", "forward"), F.col("_title")).when(w == "attachment", F.col("_des")).when(w == "app", F.when(F.col("_title") != "", F.col("_title")).otherwise(F.col("_des"))).otherwise(raw)
-    media = F.when((w == "image") & xml, F.coalesce(F.nullif(attr("img", "filename"), F.lit("")), F.nullif(attr("img", "md5"), F.lit("")))).when((w == "voice") & xml, F.nullif(attr("voicemsg", "filename"), F.lit(""))).when(w == "attachment", F.nullif(F.col("_title"), F.lit("")))
+    image, voice = attr("img", "filename"), attr("voicemsg", "filename")
+    media = F.when((w == "image") & xml, F.coalesce(F.nullif(image, F.lit("")), attr("img", "md5"))).when((w == "voice") & xml, F.nullif(voice, F.lit(""))).when(w == "attachment", F.nullif(F.col("_title"), F.lit("")))
     return d.select(
-        *(keep or df.columns), w.alias("message_kind"), text.alias("text"), F.when(w == "quote", tag("content")).otherwise("").alias("quoted_text"), F.when((w == "quote") & raw.contains("<displayname>"), tag("displayname")).alias("quoted_author"),
+        *(keep or [c for c in df.columns if c[:1] != "_"]), w.alias("message_kind"), text.alias("text"), F.when(w == "quote", tag("content")).otherwise("").alias("quoted_text"), F.when((w == "quote") & raw.contains("<displayname>"), tag("displayname")).alias("quoted_author"),
         F.when(w == "forward", F.col("_des")).otherwise("").alias("forwarded_context"), media.alias("media_name"), w.isin("image", "voice", "attachment").alias("media_expected"),
         F.when(w.isin("image", "voice"), "metadata_only").when(w == "text", "verbatim").otherwise("parsed_structure").alias("evidence_precision"),
     )

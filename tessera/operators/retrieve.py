@@ -29,7 +29,7 @@ def _joined(*cols: Column) -> Column:
 def lexical_scores(queries: DataFrame, chunks: DataFrame, compatible: bool = True) -> DataFrame:
     """Hits (query_id, slug, chunk_id, score, matched_terms). queries: query_id, query. chunks: slug, chunk_id, text, title, aliases, tags, modules, domain.
 
-    A term's weight counts 8 in title or aliases, 3 in other metadata, and 1 + ln(1 + occurrences) in the text.
+    A term's weight counts 8 in title or aliases, 3 in other metadata, and 1 + ln(1 + occurrences) in the text. Scores have nine places, so that ties don't hang on the order of a sum.
     """
     fold = (lambda c: F.lower(normalize_form(c))) if compatible else (lambda c: F.lower(F.coalesce(c, F.lit(""))))
     terms = stated(queries.select("query_id", F.map_entries(query_terms(F.col("query"), compatible)).alias("terms")))
@@ -44,7 +44,7 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame, compatible: bool = Tru
         return F.struct(t["key"].alias("term"), (t["value"] * v).alias("v"))
 
     scored = body.crossJoin(terms).withColumn("parts", F.filter(F.transform("terms", value), lambda p: p["v"] > 0))
-    return scored.where(F.size("parts") > 0).select("query_id", "slug", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["v"]).alias("score"), F.slice(F.transform("parts", lambda p: p["term"]), 1, 20).alias("matched_terms"))
+    return scored.where(F.size("parts") > 0).select("query_id", "slug", "chunk_id", F.round(F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["v"]), 9).alias("score"), F.slice(F.transform("parts", lambda p: p["term"]), 1, 20).alias("matched_terms"))
 
 
 def normalize_form(c: Column) -> Column:

@@ -83,7 +83,7 @@ def metadata_matches(queries: DataFrame, pages: DataFrame, compatible: bool = Tr
     parts = []
     for n, _, w in fields:
         terms = F.array_distinct(F.concat(*[F.array_intersect(F.col("q")[k], F.col(f"p_{n}")[k]) for k in ("cjk4", "cjk2", "latin")]))
-        parts.append(F.aggregate(terms, F.lit(0), lambda s, t, w=w: s + w * F.when(F.length(t) >= 4, 3).otherwise(1)))
+        parts.append(F.lit(w) * F.aggregate(terms, F.lit(0), lambda s, t: s + F.when(F.length(t) >= 4, 3).otherwise(1)))
     scored = both.select("query_id", "slug", sum(parts[1:], parts[0]).alias("score")).where("score > 0")
     return scored.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).withColumn("ties", F.count("*").over(Window.partitionBy("query_id", "score")))
 

@@ -188,8 +188,8 @@ def parse_pages(df: DataFrame, text: str = "text", strict: bool = False) -> Data
 def simple_fields(text: Column, names: list[str]) -> dict[str, Column]:
     """Single-line frontmatter fields without Python: text of the line `name: value`, null where absent."""
     normal = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    head = F.regexp_extract(normal, "(?s)\\A---\\n(.*?)\\n---(?:\\n|\\z)", 1)
-    return {n: F.nullif(F.btrim(F.regexp_extract(head, f"(?m)^{n}:[ \\t]*(.*)$", 1)), F.lit("")) for n in names}
+    head = F.regexp_extract(normal, "(?ds)\\A---\\n(.*?)\\n---(?:\\n|\\z)", 1)
+    return {n: F.nullif(F.btrim(F.regexp_extract(head, f"(?dm)^{n}:[ \\t]*(.*)$", 1)), F.lit("")) for n in names}
 
 
 def parse_claims(body: str) -> tuple[list[dict], list[tuple[str, str]]]:
