@@ -508,3 +508,377 @@ def normal_times(spark, d):
 def forbidden_keys(spark, d):
     a = table(spark, d, "assets").select("package_id", ingest.forbidden_keys(F.col("body")).alias("f")).where(F.size("f") > 0)
     return a.select("package_id", F.array_join("f", ",").alias("keys"))
+
+
+# ---- event ledgers, places, runtime ---------------------------------------------------------------------------------
+
+_ROUTES = """rr as (select route_id, arg_min(struct_pack(domain := domain, p := processing_disposition, events := events, at := routed_at), routed_at) as r from routed_episodes group by 1),
+routes as (select route_id, r.domain as domain, r.p as processing_disposition, r.events as events, r.at as routed_at from rr),
+ev0 as (select route_id, domain, unnest(events) as e, generate_subscripts(events, 1) - 1 as pos from routes),
+ev as (select route_id || '/' || lpad(pos::varchar, 4, '0') as event_id, route_id, domain, pos::int as pos, e.subject as subject, e.disposition as disposition, e.title as title, e.summary as summary, e.importance as importance, e.asserted_event_time.value as asserted, e.evidence_ids as evidence_ids, e.place_ids as place_ids from ev0 where e is not null)"""
+
+
+def _routes(spark, d):
+    return ledger.routes(table(spark, d, "routed_episodes"))
+
+
+def _events(spark, d):
+    return ledger.events(_routes(spark, d))
+
+
+@query(f"with {_ROUTES} select event_id, route_id, domain, pos, subject, disposition, title, importance, asserted from ev")
+def event_rows(spark, d):
+    return _events(spark, d).select("event_id", "route_id", "domain", "pos", "subject", "disposition", "title", "importance", "asserted")
+
+
+@query(f"with {_ROUTES} select (select count(*) from routes) as route_count, (select count(*) from routes where processing_disposition = 'no_signal') as no_signal_count, (select count(*) from ev) as event_count, (select count(*) from ev where subject = 'self') as subject_event_count")
+def ledger_totals(spark, d):
+    return ledger.totals(_routes(spark, d), _events(spark, d))
+
+
+_EXPECTED = """ex as (select distinct domain, case when domain = 'health' then null when domain = 'work' and right(route_id, 1) = '7' then route_id || '-x' else route_id end as route_id from routed_episodes where domain is not null)"""
+
+
+def _expected(spark, d):
+    r = F.when(F.col("domain") == "health", None).when((F.col("domain") == "work") & F.col("route_id").endswith("7"), F.concat("route_id", F.lit("-x"))).otherwise(F.col("route_id"))
+    return table(spark, d, "routed_episodes").where("domain is not null").select("domain", r.alias("route_id")).distinct()
+
+
+@query(f"with {_ROUTES}, {_EXPECTED}, j as (select ex.domain, ex.route_id, r.route_id as seen, coalesce(r.processing_disposition = 'insufficient_evidence', false) as thin from ex left join routes r on r.domain = ex.domain and r.route_id = ex.route_id), g as (select domain, count(route_id) as expected, count(seen) as processed, bool_or(thin) as thin from j group by 1) select domain, expected, processed, expected - processed as missing, case when expected = 0 then 'not_extracted' when expected > processed then 'partial' when thin then 'ambiguous' else 'complete' end as status from g")
+def domain_coverage(spark, d):
+    return ledger.domain_coverage(_routes(spark, d), _expected(spark, d))
+
+
+@query(f"with {_ROUTES}, {_EXPECTED} select domain, route_id from ex where route_id is not null and route_id not in (select route_id from routes)")
+def missing_routes(spark, d):
+    return ledger.missing_routes(_routes(spark, d), _expected(spark, d))
+
+
+@query(f"with {_ROUTES}, u as (select distinct event_id, route_id, unnest(evidence_ids) as id from ev) select event_id, id from u where id is not null and not exists (select 1 from evidence v where v.evidence_id = u.id and v.domain = split_part(u.route_id, '-', 2))")
+def allowlist_violations(spark, d):
+    e = _events(spark, d)
+    by_domain = table(spark, d, "evidence").where("domain is not null").select("domain", F.col("evidence_id").alias("id")).distinct()
+    used = e.select("event_id", F.split("route_id", "-")[1].alias("route_id"), "evidence_ids")
+    return ledger.outside_allowlist(used, by_domain.withColumnRenamed("domain", "route_id"))
+
+
+@query("select domain, count(*) as n from (select route_id, count(distinct domain) as n, min(domain) as domain from routed_episodes group by 1 having count(distinct domain) > 1) group by 1")
+def routes_in_several_domains(spark, d):
+    r = table(spark, d, "routed_episodes")
+    return ledger.several_domains(r).join(r.groupBy("route_id").agg(F.min("domain").alias("domain")), "route_id").groupBy("domain").agg(F.count("*").alias("n"))
+
+
+@query("with p as (select 'a' as part, route_id, domain from routed_episodes where domain in ('travel', 'work') union all select 'b', route_id, domain from routed_episodes where domain in ('work', 'health')) select 'domain' as kind, domain as key from p group by domain having count(distinct part) > 1 union all select 'route', route_id from p group by route_id having count(*) > 1")
+def merged_ledger_conflicts(spark, d):
+    r = table(spark, d, "routed_episodes").select("route_id", "domain")
+    return ledger.merge_ledgers({"a": r.where("domain in ('travel', 'work')"), "b": r.where("domain in ('work', 'health')")})[1]
+
+
+@query(f"with {_ROUTES} select event_id, importance from ev where subject = 'self' and importance >= 0.6")
+def biography_view(spark, d):
+    return _events(spark, d).where("subject = 'self' and importance >= 0.6").select("event_id", "importance").orderBy(F.desc("importance"), "event_id")
+
+
+@query("with l as (select user_id, arg_max(struct_pack(t := event_type, v := value), event_id) as x, count(*) as n from events group by 1) select user_id, x.t as event_type, x.v as value, n as n_events from l")
+def ledger_latest_state(spark, d):
+    return ledger.latest(table(spark, d, "events"), "user_id", ["event_id"], "event_type", "value")
+
+
+@query("with e as (select user_id, min(event_id) as m from events where event_type = 'purchase' and value > 60 group by 1) select events.event_id, events.user_id from events join e using (user_id) where event_id > m")
+def events_after_terminal(spark, d):
+    return ledger.after_terminal(table(spark, d, "events"), "user_id", "event_id", (F.col("event_type") == "purchase") & (F.col("value") > 60)).select("event_id", "user_id")
+
+
+@query("with o as (select *, sha256(event_id::varchar || chr(31) || coalesce(event_type, '')) as own from events), c as (select event_id, own, lag(own) over (partition by user_id order by event_id) as previous_hash from o) select event_id, previous_hash, sha256(coalesce(previous_hash, '') || chr(31) || own) as event_hash from c")
+def hash_chain(spark, d):
+    return ledger.chain(table(spark, d, "events"), "user_id", "event_id", "event_id", "event_type").select("event_id", "previous_hash", "event_hash")
+
+
+@query("with o as (select event_id, user_id, sha256(event_type) as h from events), p as (select *, case when event_id % 97 = 0 then 'x' else lag(h) over (partition by user_id order by event_id) end as prev, lag(h) over (partition by user_id order by event_id) as b from o) select event_id from p where prev is distinct from b")
+def broken_chain_links(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.sha2("event_type", 256).alias("h"))
+    e = e.withColumn("prev", F.when(F.col("event_id") % 97 == 0, "x").otherwise(F.lag("h").over(Window.partitionBy("user_id").orderBy("event_id"))))
+    return ledger.broken_links(e, "user_id", "event_id", "h", "prev").select("event_id")
+
+
+@query("with p as (select user_id, event_id, case when event_id % 50 = 0 then -1 else lag(event_id) over (partition by user_id order by event_id) end as parent, lag(event_id) over (partition by user_id order by event_id) as b, row_number() over (partition by user_id order by event_id) as r from events) select user_id, count(*) as n_links, count(*) filter (r > 1 and parent is distinct from b) as n_breaks, count(*) filter (r > 1 and parent is distinct from b) = 0 and count(*) <= 256 as valid from p group by 1")
+def parent_chain_check(spark, d):
+    e = table(spark, d, "events").withColumn("parent", F.when(F.col("event_id") % 50 == 0, F.lit(-1)).otherwise(F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))))
+    return ledger.parents_in_line(e, "user_id", "event_id", "event_id", "parent")
+
+
+@query("with u as (select o_orderkey as unit, list(l_partkey % 40) as deps from orders join lineitem on l_orderkey = o_orderkey group by 1), a as (select i from range(0, 38) t(i)) select unit from u where not exists (select 1 from (select unnest(u.deps) as x) where x not in (select i from a))")
+def dependency_gate(spark, d):
+    u = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderkey").alias("unit")).agg(F.collect_set(F.col("l_partkey") % 40).alias("dependencies"))
+    return ledger.ready(u, spark.range(0, 38).select(F.col("id").alias("unit"))).select("unit")
+
+
+@query("select count(*) filter (event_type <> 'view') as assessed, count(*) filter (event_type <> 'view' and event_type = 'error') as rejected, count(*) filter (event_type <> 'view') >= 3 and count(*) filter (event_type = 'error') / count(*) filter (event_type <> 'view') >= 0.67 as systemic from events")
+def rejected_share(spark, d):
+    return ledger.shares(table(spark, d, "events"), F.col("event_type") != "view", F.col("event_type") == "error")
+
+
+@query("select user_id, arg_min(value, event_id) as first, arg_max(value, event_id) as last, count(*) as n, round(arg_max(value, event_id) - arg_min(value, event_id), 6) as delta from events group by 1")
+def first_last_trend(spark, d):
+    return ledger.trend(table(spark, d, "events"), "user_id", "event_id", "value")
+
+
+def _mentions(spark, d):
+    p = table(spark, d, "places")
+    mentions = p.select("place_id", F.concat(F.lit(" "), F.upper("canonical")).alias("raw")).distinct()
+    candidates = p.select("place_id", "canonical", "kind").distinct().select(F.concat(F.lit("cand-"), "place_id", F.lit("-"), "kind", F.lit("-"), "canonical").alias("candidate_id"), F.col("canonical").alias("raw"), "canonical", "kind", (F.col("kind") != "other").alias("safe"))
+    return mentions.where("raw is not null"), candidates.where("canonical is not null")
+
+
+@query("with m as (select distinct place_id, ' ' || upper(canonical) as raw from places where canonical is not null), c as (select distinct 'cand-' || place_id || '-' || kind || '-' || canonical as candidate_id, canonical, kind, kind <> 'other' as safe from places where canonical is not null), g as (select lower(trim(canonical, ' ')) as k, count(*) filter (safe) as n, arg_min(struct_pack(id := candidate_id, c := canonical, kind := kind), candidate_id) filter (safe) as one, list_sort(list(distinct candidate_id) filter (candidate_id is not null)) as ids from c group by 1) select place_id, raw, case when n = 1 then one.c end as canonical, case when n = 1 then one.kind else 'ambiguous' end as kind, case when n = 1 then 'applied' else 'ambiguous' end as status, array_to_string(case when n = 1 then [one.id] else coalesce(ids, []) end, ',') as candidate_ids from m left join g on k = lower(trim(raw, ' '))")
+def place_normalize(spark, d):
+    m, c = _mentions(spark, d)
+    return places.normalize(m, c, False).withColumn("candidate_ids", F.array_join("candidate_ids", ","))
+
+
+@query(f"with {_ROUTES}, o as (select route_id, unnest(place_ids) as place_id from ev where subject = 'self' and disposition in ('occurred', 'completed')), p as (select distinct place_id, canonical from places where kind = 'country') select canonical, count(distinct route_id) as n_routes from o join p using (place_id) group by 1")
+def visited_countries(spark, d):
+    return places.visited(_events(spark, d), table(spark, d, "places"))
+
+
+@query(f"with {_ROUTES}, u as (select event_id, unnest(place_ids) as place_id, (generate_subscripts(place_ids, 1) - 1)::int as pos from ev), p as (select place_id, min(canonical) as canonical, min(kind) as kind from places group by 1) select event_id, pos, u.place_id, canonical, kind from u left join p using (place_id) where u.place_id is not null")
+def event_places(spark, d):
+    return places.with_places(_events(spark, d), table(spark, d, "places"))
+
+
+def _tok(x: str) -> str:
+    return rf"list_distinct(list_concat(regexp_extract_all({x}, '[a-z0-9]+'), flatten(list_transform(regexp_extract_all({x}, '[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}]+'), lambda r: list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i::bigint, 1)), list_transform(range(1, length(r)), lambda i: substr(r, i::bigint, 2)))))))"
+
+
+@query(f"with {_ROUTES}, q as (select id as query_id, {_tok('lower(q)')} as t from (values {_ASKED}) v(id, q)), dd as (select event_id as slug, {_tok(chr(108) + 'ower(concat_ws(' + chr(39) + ' ' + chr(39) + ', title, summary, domain, disposition))')} as t from ev where subject = 'self'), s as (select query_id, slug, round(case when len(q.t) = 0 then 1.0 else len(list_intersect(q.t, dd.t)) / len(q.t) end, 6) as score from dd, q) select query_id, slug, score::double as score, row_number() over (partition by query_id order by score desc, slug)::int as rank from s where score > 0 qualify rank <= 10")
+def runtime_topk(spark, d):
+    e = _events(spark, d).where(runtime.filters(subject="self"))
+    words = F.lower(F.concat_ws(" ", "title", "summary", "domain", "disposition"))
+    q = asked(spark).withColumn("query", F.lower("query"))
+    return runtime.search(e, "event_id", words, q, folded=True)
+
+
+@query(f"with {_ROUTES} select event_id from ev where domain in ('travel', 'work') and asserted like '2024%' and disposition = 'occurred'")
+def runtime_filters(spark, d):
+    return _events(spark, d).where(runtime.filters(domains=["travel", "work"], disposition="occurred", year="2024")).select("event_id")
+
+
+@query("select evidence_id from evidence where coalesce(active, true) and domain in ('travel', 'health')")
+def evidence_filters(spark, d):
+    return table(spark, d, "evidence").where(runtime.filters(domains=["travel", "health"], active=F.col("active"))).select("evidence_id")
+
+
+@query(f"with {_ROUTES}, {_EXPECTED}, q as (select id as query_id, {_tok('lower(q)')} as t from (values {_ASKED}) v(id, q)), h as (select distinct query_id from q where exists (select 1 from (select {_tok('lower(summary)')} as t from evidence where domain = 'health') e where len(list_intersect(e.t, q.t)) > 0)) select q.query_id, case when h.query_id is not null then 'grounded' else 'unknown' end as answer_status, case when h.query_id is null then 'domain_not_extracted' end as reason from q left join h using (query_id)")
+def runtime_answers(spark, d):
+    q = asked(spark).withColumn("query", F.lower("query"))
+    hits = runtime.search(table(spark, d, "evidence").where(runtime.filters(domains=["health"])), "evidence_id", F.lower("summary"), q, folded=True)
+    return runtime.answers(q, hits, ledger.domain_coverage(_routes(spark, d), _expected(spark, d)), ["health"])
+
+
+# ---- packing, chunks ------------------------------------------------------------------------------------------------
+
+
+@query("with x as (select doc_id, text as t, length(text) as n from documents where length(text) > 0), c as (select doc_id, t, n, unnest(range(0, greatest(0, n - 161) + 1, 1040)) as s from x) select doc_id, (s // 1040)::int as chunk_index, s::int as start, least(s + 1200, n)::int as end, substr(t, (s + 1)::bigint, 1200) as chunk_text from c")
+def chunk_windows_fixed(spark, d):
+    return packing.fixed_chunks(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+@query()
+def chunk_windows_boundary(spark, d):
+    return packing.chunk_texts(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+@query()
+def packet_packing(spark, d):
+    docs = table(spark, d, "documents").withColumn("bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    return packing.pack(docs, "source", ["doc_id"], "bytes", 16000, ["doc_id", "source", "bytes"])
+
+
+@query()
+def compacted_records(spark, d):
+    return packing.compact(table(spark, d, "documents"), "doc_id", "text", 2000)
+
+
+@query("with s as (select coalesce(page_type, '') as page_type, unnest(string_split(text, '')) as c from documents where text <> ''), n as (select page_type, c, count(*) as n from s group by all), t as (select page_type, sum(n)::bigint as n_symbols, sum(n * log2(n)) as x from n group by 1) select page_type, n_symbols, round(log2(n_symbols) - x / n_symbols, 6) as entropy from t")
+def entropy_by_group(spark, d):
+    docs = table(spark, d, "documents").where("text <> ''").select(F.coalesce("page_type", F.lit("")).alias("page_type"), "text")
+    return files.entropy(docs, "page_type", F.split("text", ""))
+
+
+@query("select count(*) as n, sum(case when regexp_matches(lower(file), '\\.(jpg|jpeg|png|gif|webp|dat)$') then 1 else 0 end)::bigint as image, sum(case when regexp_matches(lower(file), '\\.(silk|aud|wav|m4a|mp3)$') then 1 else 0 end)::bigint as voice from (select regexp_extract(message_content, 'filename=\"([^\"]*)\"', 1) as file from message where local_type in (3, 34))".replace('\\"', '"'))
+def media_kinds(spark, d):
+    m = table(spark, d, "message").where("local_type in (3, 34)").select(files.media_kind(F.regexp_extract("message_content", 'filename="([^"]*)"', 1)).alias("k"))
+    return m.agg(F.count("*").alias("n"), F.count_if(F.col("k") == "image").alias("image"), F.count_if(F.col("k") == "voice").alias("voice"))
+
+
+# ---- histories and change sets --------------------------------------------------------------------------------------
+
+
+@query("with new as (select c_custkey * 2 as k, 'new' as v from customer) select k, v from (select c_custkey as k, c_mktsegment as v from customer union all select k, v from new where k not in (select c_custkey from customer))")
+def insert_only_update(spark, d):
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    return history.insert_only(base, base.select((F.col("k") * 2).alias("k"), F.lit("new").alias("v")), "k")[0]
+
+
+@query("select c_custkey as k, case when c_custkey % 7 = 0 then 'CORRECTED' else c_mktsegment end as v from customer")
+def corrected_rows(spark, d):
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    return history.correct(base, base.where("k % 7 = 0").select("k", F.lit("CORRECTED").alias("v")), "k", ["v"])
+
+
+@query("select evidence_id, domain, case when domain = 'travel' then false else active end as active from evidence")
+def withdrawn_sources(spark, d):
+    e = table(spark, d, "evidence").withColumn("source_ids", F.array("domain"))
+    return history.withdraw(e, "travel").select("evidence_id", "domain", "active")
+
+
+@query("select evidence_id, domain, summary from evidence where domain is distinct from 'work' union all select evidence_id, domain, upper(summary) from evidence where domain = 'work'")
+def replaced_partition(spark, d):
+    e = table(spark, d, "evidence").select("evidence_id", "domain", "summary")
+    return history.replace_partition(e, e.withColumn("summary", F.upper("summary")), "domain", "work")
+
+
+@query("with l as (select user_id, event_id as version, event_type, event_type = 'error' as deleted from events where event_id <= 6000), m as (select * from l qualify row_number() over (partition by user_id order by version desc) = 1) select user_id, version, event_type from m where not deleted")
+def state_at_version(spark, d):
+    log = table(spark, d, "events").select("user_id", F.col("event_id").alias("version"), "event_type", (F.col("event_type") == "error").alias("deleted"))
+    return history.at_version(log, "user_id", 6000).select("user_id", "version", "event_type")
+
+
+def _change_set(spark, d):
+    files_ = table(spark, d, "orders").select(F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderpriority").alias("content"))
+    k = F.col("o_orderkey") % 11
+    action = F.when(k == 0, "delete").when(k == 1, "update").when(k == 2, "move").when(k == 3, "create")
+    target = F.when(k == 3, F.concat(F.lit("n/"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")))
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), action.alias("action"), target.alias("target"), F.when(k == 2, F.concat(F.lit("m/"), F.col("o_orderkey").cast("string"))).alias("new_target"), F.when(k.isin(1, 3), "changed").alias("content")).where("action is not null")
+    return files_, c
+
+
+@query("with o as (select o_orderkey as k, o_orderpriority as p from orders) select 'o/' || k as path, case when k % 11 = 1 then 'changed' else p end as content from o where k % 11 not in (0, 2) union all select 'm/' || k, p from o where k % 11 = 2 union all select 'n/' || k, 'changed' from o where k % 11 = 3")
+def applied_changes(spark, d):
+    f, c = _change_set(spark, d)
+    return history.apply_changes(f, c)
+
+
+@query("with o as (select o_orderkey as k from orders) select 'o/' || k as target, 'absent' as code from o where k % 11 in (0, 1, 2) and k % 5 = 0 union all select 'm/' || k, 'destination_exists' from o where k % 11 = 2 and k % 3 = 0")
+def change_violations(spark, d):
+    f, c = _change_set(spark, d)
+    key = F.regexp_extract("path", "(\\d+)$", 1).cast("long")
+    there = f.where(key % 5 != 0).unionByName(f.where((key % 11 == 2) & (key % 3 == 0)).withColumn("path", F.regexp_replace("path", "^o", "m")))
+    return history.change_violations(there, c)
+
+
+@query("with e as (select o_orderkey as path, md5(o_orderstatus) as sha from orders where o_orderkey % 9 <> 0), c as (select o_orderkey as path, md5(case when o_orderkey % 8 = 0 then 'z' else o_orderstatus end) as sha from orders where o_orderkey % 10 <> 0) select coalesce(e.path, c.path) as path, case when e.path is null then 'appeared' when c.path is null then 'vanished' else 'changed' end as state from e full join c on e.path = c.path where e.path is null or c.path is null or e.sha <> c.sha")
+def stale_preconditions(spark, d):
+    o = table(spark, d, "orders")
+    e = o.where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("path"), F.md5("o_orderstatus").alias("sha"))
+    c = o.where("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("path"), F.md5(F.when(F.col("o_orderkey") % 8 == 0, "z").otherwise(F.col("o_orderstatus"))).alias("sha"))
+    return history.stale(e, c)
+
+
+@query("with f as (select event_id, user_id, (row_number() over (partition by user_id, event_type order by event_id) = 1)::int as f from events) select event_id, sum(f) over (partition by user_id order by event_id)::bigint as n_states from f")
+def states_so_far(spark, d):
+    return history.states_so_far(table(spark, d, "events"), "user_id", "event_id", "event_type").select("event_id", "n_states")
+
+
+@query("with a as (select distinct o_custkey as k from orders), b as (select c_custkey as k from customer) (select k, 'actual' as missing_from from a except select k, 'actual' from b) union all (select k, 'expected' from b except select k, 'expected' from a)")
+def differing_sets(spark, d):
+    return history.differing(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")))
+
+
+@query("select o_orderkey from orders where (o_orderstatus, o_orderpriority) in (select distinct o_orderstatus, o_orderpriority from orders where o_custkey % 50 = 0)")
+def granted_actions(spark, d):
+    o = table(spark, d, "orders")
+    return history.granted(o, o.where("o_custkey % 50 = 0"), ["o_orderstatus", "o_orderpriority"]).select("o_orderkey")
+
+
+@query("select doc_id from documents where sha256(coalesce(text, '')) in (select sha256(coalesce(text, '')) from documents where doc_id % 3 = 0)")
+def reused_embeddings(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return docs.join(docs.where("doc_id % 3 = 0").select("h").distinct(), "h", "left_semi").select("doc_id")
+
+
+@query("select count(*) as rows_, count(distinct slug) as n from documents where slug is not null".replace("rows_", "n_rows"))
+def metadata_universe(spark, d):
+    p = pages(spark, d)
+    return p.agg(digests.group_digest(F.col("slug"), F.col("title")).alias("x"), F.count("*").alias("n_rows"), F.count_distinct("slug").alias("n")).select("n_rows", "n")
+
+
+# ---- quality --------------------------------------------------------------------------------------------------------
+
+
+@query("with q as (select domain as metric, count(*) filter (active) as numerator, count(*) - count(*) filter (domain = 'travel') as denominator from evidence where domain is not null group by 1) select metric, round(case when denominator = 0 then null else numerator / denominator end, 6) as value, denominator > 0 and numerator >= 0 and numerator <= denominator as valid from q")
+def qa_ratios(spark, d):
+    e = table(spark, d, "evidence").where("domain is not null").groupBy(F.col("domain").alias("metric")).agg(F.count_if("active").alias("numerator"), (F.count("*") - F.count_if(F.col("domain") == "travel")).alias("denominator"))
+    return evaluate.ratios(e)
+
+
+@query("with g as (select l_orderkey as item_id, count(distinct l_suppkey % 3) as n from lineitem where l_orderkey % 4 <> 0 group by 1), i as (select o_orderkey as item_id from orders where o_orderkey % 5 <> 0) select i.item_id, case when n is null then 'missing' else 'repeated' end as problem from i left join g using (item_id) where n is null or n > 1 union all select item_id, 'unknown' from g where item_id not in (select item_id from i)")
+def partition_check(spark, d):
+    groups = table(spark, d, "lineitem").where("l_orderkey % 4 <> 0").select((F.col("l_suppkey") % 3).alias("group_id"), F.col("l_orderkey").alias("item_id")).distinct()
+    return evaluate.partition_check(table(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("item_id")), groups)
+
+
+_STRENGTH = "['unknown', 'quoted', 'third_party', 'self_report', 'observed'][(o_orderkey % 5 + 1)::int]"
+
+
+@query(f"with s as (select o_custkey, {_STRENGTH} as s, o_orderkey % 5 as r from orders) select o_custkey, arg_min(s, r) as weakest from s group by 1")
+def weakest_strength(spark, d):
+    s = F.element_at(F.array(*map(F.lit, evaluate.STRENGTHS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return evaluate.weakest(table(spark, d, "orders").withColumn("s", s), "o_custkey", "s")
+
+
+@query(f"with {_ROUTES}, i as (select domain, event_id, unnest(evidence_ids) as item, generate_subscripts(evidence_ids, 1) as k from ev), f as (select domain, item, min(event_id || '#' || lpad(k::varchar, 6, '0')) as f from i where item is not null group by 1, 2) select domain, item, row_number() over (partition by domain order by f, item)::int as place from f")
+def stable_union(spark, d):
+    return evaluate.stable_union(_events(spark, d), "domain", "event_id", "evidence_ids")
+
+
+@query(f"with {_ROUTES}, i as (select distinct evidence_id as id from evidence), r as (select distinct x as id from (select unnest(evidence_ids) as x from ev) where x is not null), x as (select distinct evidence_id as id from evidence where active = false), f as (select i.id, r.id is not null as rr, x.id is not null as xx from i left join r using (id) left join x using (id)) select count(*) as inputs, count(*) filter (rr) as referenced, count(*) filter (xx) as excluded, count(*) filter (rr or xx) as covered, round(count(*) filter (rr) / (count(*) - count(*) filter (xx and not rr)), 6) as evidence_recall, round(count(*) filter (rr or xx) / count(*), 6) as disposition_coverage from f")
+def stage_receipt(spark, d):
+    e = table(spark, d, "evidence")
+    used = _events(spark, d).select(F.explode("evidence_ids").alias("id")).where("id is not null")
+    return evaluate.receipt(e.select(F.col("evidence_id").alias("id")), used, e.where("active = false").select(F.col("evidence_id").alias("id")))
+
+
+@query("select 'categories_sum' as \"check\", true as holds union all select 'ids_unique', count(distinct place_id) = count(*) from places union all select 'all_named', count(canonical) = count(*) from places")
+def field_identities(spark, d):
+    p = table(spark, d, "places")
+    kinds = ("landmark", "other", "country", "subregion", "city")
+    total = sum((F.count_if(F.col("kind") == k) for k in kinds[1:]), F.count_if(F.col("kind") == kinds[0]))
+    return evaluate.identities(p, {"categories_sum": total == F.count("kind"), "ids_unique": F.count_distinct("place_id") == F.count("*"), "all_named": F.count("canonical") == F.count("*")})
+
+
+@query("select distinct doc_id from documents where hash(1) is not null and doc_id % 6 = 0")
+def split_overlap(spark, d):
+    docs = table(spark, d, "documents")
+    return evaluate.overlap(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"), "doc_id")
+
+
+@query("select l_orderkey as record_id, count(distinct case when l_returnflag <> 'R' then s_nationkey end) as supporting, count(distinct case when l_returnflag = 'R' then s_nationkey end) as contradicting, false as missing_family, bool_or(l_returnflag <> 'R' and l_linestatus = 'F') as validating from lineitem join supplier on s_suppkey = l_suppkey group by 1")
+def source_families(spark, d):
+    o = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    o = o.select(F.col("l_orderkey").alias("record_id"), F.col("s_nationkey").cast("string").alias("source_family"), F.when(F.col("l_returnflag") == "R", "contradicts").otherwise("supports").alias("relation"), F.when(F.col("l_linestatus") == "F", "repeated_test").otherwise("note").alias("evidence_kind"))
+    return evaluate.families(o)
+
+
+# ---- windows over the event stream (an extension) -------------------------------------------------------------------
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def tumbling_windows(spark, d):
+    from tessera.streaming.windows import tumbling
+
+    return tumbling(table(spark, d, "events"), "1 hour").select("start", "event_type", "n", "total")
+
+
+@query("with w as (select ts, event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as start from events) select start, event_type, count(*) as n, round(sum(value), 4) as total from w group by 1, 2")
+def sliding_windows(spark, d):
+    from tessera.streaming.windows import sliding
+
+    return sliding(table(spark, d, "events"), "2 hours", "1 hour").select("start", "event_type", "n", "total")
+
+
+@query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 3 hour then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, k")
+def session_windows(spark, d):
+    from tessera.streaming.windows import sessions
+
+    return sessions(table(spark, d, "events"), "3 hours").select("user_id", "start", "n")
