@@ -30,6 +30,8 @@ _RINV = pow(_R, -1, 1 << 64)
 _STEP = 1 << 20
 GROUP_BITS = 1 << 26  # of one filter group: 8 MB
 BITS_PER_BLOCK = 16
+GROUP_MOST = 64
+AROUND = 4
 _CACHE: dict = {}
 
 
@@ -81,15 +83,34 @@ def _slices(batch: pa.RecordBatch, chars: int = 1 << 20):
         yield range(lo, len(texts)), texts[lo:]
 
 
-def _windows(texts: list[str], size: int):
-    """Pieces (text number, position, hash) of all windows that lie within one text."""
+def _windows(texts: list[str], size: int, around: int = 0, step: int = 0):
+    """Pieces (text number, position, hash, context) of all windows that lie within one text.
+
+    context has, per window, 32-bit hashes of the AROUND windows of `around` characters that begin 0, 1, 2 ... steps before it; 0 where the text is too short.
+    """
     codes, at = _codes(texts)
     for lo in range(0, len(codes), _STEP):
+        back = min(lo, (AROUND - 1) * step)
+        part = codes[lo - back : lo + _STEP + max(size, around) - 1]
         hashes = window_hashes(codes[lo : lo + _STEP + size - 1], size)
         place = np.arange(lo, lo + len(hashes))
         doc = np.searchsorted(at, place, side="right") - 1
         inside = place + size <= at[doc + 1]
-        yield doc[inside], (place - at[doc])[inside], hashes[inside]
+        doc, place, hashes = doc[inside], place[inside], hashes[inside]
+        yield doc, place - at[doc], hashes, partial(_context, part, lo - back, at, around, step) if around else None
+
+
+def _context(part: np.ndarray, base: int, at: np.ndarray, around: int, step: int, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    wide = window_hashes(part, around)
+    out = np.zeros((AROUND, len(doc)), dtype=np.int32)
+    if not len(wide):
+        return out
+    for k in range(AROUND):
+        start = at[doc] + pos - k * step
+        ok = (pos >= k * step) & (start + around <= at[doc + 1])
+        h = wide[np.clip(start - base, 0, len(wide) - 1)]
+        out[k] = np.where(ok, (h >> np.uint64(33)).astype(np.int32) | 1, 0)
+    return out
 
 
 def _bit_places(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -103,7 +124,7 @@ def _bit_places(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, list[np.nd
 def _emit_blocks(batches, size: int, groups: int):
     for batch in batches:
         for _, texts in _slices(batch):
-            for _, pos, h in _windows(texts, size):
+            for _, pos, h, _ in _windows(texts, size):
                 h = h[pos % size == 0]
                 yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(groups)).astype(np.int32)), pa.array(h.view(np.int64))], names=["grp", "h"])
 
@@ -172,21 +193,43 @@ def _thin(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, aligned: np.ndarray,
     return keep | aligned
 
 
-def _probe(batches, size: int, groups: int, root: str):
+def _probe(batches, size: int, groups: int, root: str, around: int, step: int):
     for batch in batches:
         t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
         for rows, texts in _slices(batch):
             pieces = []
-            for doc, pos, h in _windows(texts, size):
+            for doc, pos, h, context in _windows(texts, size, around, step):
                 ok = _pass(h, root, groups)
-                pieces.append((doc[ok], pos[ok], h[ok]))
+                doc, pos, h = doc[ok], pos[ok], h[ok]
+                pieces.append((doc, pos, h, *context(doc, pos)))
             if not pieces:
                 continue
-            doc, pos, h = (np.concatenate(x) for x in zip(*pieces))
-            aligned = pos % size == 0
-            keep = _thin(doc, pos, h, aligned, size)
-            doc, pos, h, aligned = doc[keep] + rows.start, pos[keep], h[keep], aligned[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t1[doc]), pa.array(t2[doc]), pa.array(pos.astype(np.int32)), pa.array(aligned)], names=["h", "t1", "t2", "pos", "aligned"])
+            doc, pos, h, *near = (np.concatenate(x) for x in zip(*pieces))
+            keep = _thin(doc, pos, h, pos % size == 0, size) & (sum(c != 0 for c in near) > 0)
+            doc, pos, h, near = doc[keep] + rows.start, pos[keep], h[keep], [c[keep] for c in near]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t1[doc]), pa.array(t2[doc]), pa.array(pos.astype(np.int32)), *map(pa.array, near)], names=["h", "t1", "t2", "pos", *(f"c{k}" for k in range(AROUND))])
+
+
+def _full_windows(batches, step: int, min_chars: int):
+    """For each row (text, pos, k, h): hashes of the windows of min_chars characters around pos that hold its window k."""
+    for batch in batches:
+        codes_of: dict[tuple, np.ndarray] = {}
+        rows, keys = [], []
+        for i, (a, b, text, pos, k, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "pos", "k", "h")))):
+            if (a, b) not in codes_of:
+                codes_of = {(a, b): np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)}
+            codes = codes_of[a, b]
+            lead = np.arange(k * step, (k + 1) * step + 1)
+            lead = lead[(pos - lead >= 0) & (pos - lead + min_chars <= len(codes))]
+            if not len(lead):
+                continue
+            low = pos - int(lead[-1])
+            full = window_hashes(codes[low : pos - int(lead[0]) + min_chars], min_chars)[::-1]
+            rows += [i] * len(lead)
+            keys.append(_mix(full + np.uint64(h & 0xFFFFFFFFFFFFFFFF) + lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        at = pa.array(rows, pa.int64())
+        found = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found), *(batch.column(c).take(at) for c in ("t1", "t2", "pos"))], names=["g", "t1", "t2", "pos"])
 
 
 def _grow(batches, size: int, min_chars: int):
@@ -219,6 +262,13 @@ def _texts(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").where(F.length("text") >= min_chars).select("doc_id", t1.alias("t1"), t2.alias("t2"), "text")
 
 
+def _of_texts(bare: DataFrame, who: DataFrame) -> DataFrame:
+    """The texts (t1, t2, text) named by who, once each. Their names are broadcast only while their measured size is bounded."""
+    who = stage(who.distinct(), "who")
+    small = who.count() * 32 <= BROADCAST_BYTES
+    return stage(bare.join(F.broadcast(who) if small else who, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]), "texts")
+
+
 def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Maximal exact repeats between distinct texts: (a1, a2, b1, b2, a_start, b_start, n_chars), texts by their 128-bit hashes, a below b."""
     spark = docs.sparkSession
@@ -232,15 +282,30 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     hashes = bare.select("text").mapInArrow(partial(_emit_blocks, size=size, groups=groups), "grp int, h long")
     hashes.repartition(int(min(groups, 4096)), "grp").mapInArrow(partial(_fold_groups, groups=groups), "grp int, bits binary").write.parquet(root)
     # 2. every window probes it; copies of a text give the same rows, once
-    hits = bare.mapInArrow(partial(_probe, size=size, groups=groups, root=root), "h long, t1 long, t2 long, pos int, aligned boolean")
+    step = -(-size // AROUND)
+    around = ", ".join(f"c{k} int" for k in range(AROUND))
+    hits = bare.mapInArrow(partial(_probe, size=size, groups=groups, root=root, around=min_chars - step, step=step), f"h long, t1 long, t2 long, pos int, {around}")
     hits = stage(hits, "hits")
-    # 3. hashes that an anchor of one text and a window of another share
-    met = hits.groupBy("h").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.bool_or("aligned").alias("anchored")).where("lo != hi and anchored").select("h")
-    hot = hot_buckets(hits, F.xxhash64("h"))
-    live = stage(hits.join(met, "h", "left_semi").distinct(), "live")
-    a = live.where("aligned").select("h", F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("pos").alias("a_pos"))
-    b = live.select("h", F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("pos").alias("b_pos"))
-    pairs = salted_join(a, b, "h", hot, "inner").where("a1 < b1 or (a1 = b1 and a2 < b2)")
+    # 3. hashes that an anchor of one text and a window of another share, and agreement around them
+    anchor = F.col("pos") % size == 0
+    several = [F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.bool_or(anchor).alias("anchored"), F.count("*").alias("n")]
+    met = hits.groupBy("h").agg(*several).where("lo != hi and anchored").select("h")
+    live = hits.join(met, "h", "left_semi").select("h", "t1", "t2", "pos", F.posexplode(F.array(*[f"c{k}" for k in range(AROUND)])).alias("k", "c")).where("c != 0")
+    live = stage(live.select(F.xxhash64("h", "k", "c").alias("g"), "h", "k", "t1", "t2", "pos").distinct(), "live")
+    agreeing = live.groupBy("g").agg(*several).where("lo != hi and anchored").select("g", (F.col("n") > GROUP_MOST).alias("big"))
+    hot = hot_buckets(live, F.xxhash64("g"))
+    members = stage(salted_join(live, agreeing, "g", hot, "inner"), "members")
+    few = members.where("not big").select("g", "t1", "t2", "pos")
+    many = members.where("big")
+    if many.limit(1).count():
+        wanted = _of_texts(bare, many.select("t1", "t2"))
+        whole = many.select("t1", "t2", "pos", "k", "h").join(wanted, ["t1", "t2"]).mapInArrow(partial(_full_windows, step=step, min_chars=min_chars), "g long, t1 long, t2 long, pos int")
+        whole = stage(whole, "windows")
+        same = whole.groupBy("g").agg(*several).where("lo != hi and anchored").select("g")
+        few = few.unionByName(whole.join(same, "g", "left_semi"))
+    a = few.where(anchor).select("g", F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("pos").alias("a_pos"))
+    b = few.select("g", F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("pos").alias("b_pos"))
+    pairs = a.join(b, "g").where("a1 < b1 or (a1 = b1 and a2 < b2)").drop("g")
     # 4. one row for each pair and diagonal: its blocks, in unbroken runs (a diagonal has at most as many blocks as the text)
     lines = pairs.groupBy("a1", "a2", "b1", "b2", (F.col("b_pos") - F.col("a_pos")).alias("shift")).agg(F.sort_array(F.collect_set("a_pos")).alias("at"))
     at = F.col("at")
@@ -250,19 +315,15 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     runs = runs.select("a1", "a2", "b1", "b2", F.col("r.s").alias("a_at"), (F.col("r.s") + F.col("shift")).alias("b_at"), (F.col("r.e") - F.col("r.s") + size).alias("n"))
     runs = stage(runs, "runs")
     # 5. the text around each run, of the texts that have one; beyond a run no whole block can match, so one block each side is enough
-    who = runs.select(F.col("a1").alias("t1"), F.col("a2").alias("t2")).union(runs.select("b1", "b2")).distinct()
-    who = stage(who, "who")
-    small = who.count() * 32 <= BROADCAST_BYTES
-    used = bare.join(F.broadcast(who) if small else who, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-    used = stage(used, "texts")
+    used = _of_texts(bare, runs.select(F.col("a1").alias("t1"), F.col("a2").alias("t2")).union(runs.select("b1", "b2")))
 
-    def around(side: str, rows: DataFrame) -> DataFrame:
+    def beside(side: str, rows: DataFrame) -> DataFrame:
         named = used.select(F.col("t1").alias(f"{side}1"), F.col("t2").alias(f"{side}2"), "text")
         lead = F.least(F.col(f"{side}_at"), F.lit(size))
         cut = F.substring(F.col("text"), F.col(f"{side}_at") - lead + 1, lead + F.col("n") + size)
         return rows.join(named, [f"{side}1", f"{side}2"]).withColumn(f"{side}_lead", lead).withColumn(f"{side}_text", cut).drop("text")
 
-    grown = around("b", around("a", runs)).mapInArrow(partial(_grow, size=size, min_chars=min_chars), "a1 long, a2 long, b1 long, b2 long, a_start long, b_start long, n_chars long")
+    grown = beside("b", beside("a", runs)).mapInArrow(partial(_grow, size=size, min_chars=min_chars), "a1 long, a2 long, b1 long, b2 long, a_start long, b_start long, n_chars long")
     return grown
 
 
