@@ -80,8 +80,12 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, final:
 
 
 def states(stream: DataFrame, final: str = "accepted", lease_s: float = 900.0) -> DataFrame:
-    """Current status of every unit of (unit, seq, event); a final state is terminal, an idle unit expires after its lease."""
+    """Current status of every unit of (unit, seq, event); a final state is terminal, an idle unit expires after its lease (0: never).
+
+    With a lease the query wakes up for timeouts as long as it runs, so it needs a trigger that goes on, not availableNow.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if lease_s > 0 else GroupStateTimeout.NoTimeout
     def fold(key, batches, state):
         return _fold(key, batches, state, final, lease_s)
 
-    return stream.groupBy("unit").applyInPandasWithState(fold, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("unit").applyInPandasWithState(fold, OUT_SCHEMA, STATE_SCHEMA, "update", timeout)
