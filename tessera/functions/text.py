@@ -142,3 +142,9 @@ def _cut_bytes(values: pd.Series, limits: pd.Series) -> pd.Series:
 def truncate_bytes(text: Column, limit: int) -> Column:
     """Longest prefix of at most `limit` UTF-8 bytes."""
     return _cut_bytes(text, F.lit(limit))
+
+
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two lists share a value, blanks and letter case aside."""
+    plain = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.btrim(x)))
+    return F.coalesce(F.arrays_overlap(plain(a), plain(b)), F.lit(False))

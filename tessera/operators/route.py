@@ -88,10 +88,19 @@ def metadata_matches(queries: DataFrame, pages: DataFrame, compatible: bool = Tr
     return scored.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).withColumn("ties", F.count("*").over(Window.partitionBy("query_id", "score")))
 
 
+#: Phrases that ask for one's own records, and phrases that rule them out, in Chinese and English.
+ASKS = ["(?:根据|结合|参考|对照|回顾|梳理|利用|基于)\\s*(?:一下\\s*)?(?:我|我们)(?:的|已有|之前|过去|当前)", "\\b(?:based on|using|given|consider|review)\\s+(?:my|our)\\b"]
+EXCLUDES = ["(?:不要|不需要|无需|不用|勿|别|不必|不想|不能)\\s*.{0,12}?(?:根据|基于|参考|结合|利用|对照|回顾|梳理|使用|用)\\s*.{0,8}?(?:我|我们)", "\\b(?:without|do not|don t|dont|never|no need to)\\b(?:\\s+[a-z]+){0,8}\\s+(?:my|our)\\b"]
+
+
+def _any(text: Column, patterns: list[str]) -> Column:
+    return text.rlike("|".join(f"(?:{p})" for p in patterns))
+
+
 def asks_for_personal_context(text: Column) -> Column:
-    """Whether a normalised text asks to use one's own records, in Chinese or English."""
-    return text.rlike("(?:根据|结合|参考|对照|回顾|梳理|利用|基于)\\s*(?:一下\\s*)?(?:我|我们)(?:的|已有|之前|过去|当前)") | text.rlike("\\b(?:based on|using|given|consider|review)\\s+(?:my|our)\\b")
+    """Whether a normalised text asks to use one's own records."""
+    return _any(text, ASKS)
 
 
 def excludes_personal_context(text: Column) -> Column:
-    return text.rlike("(?:不要|不需要|无需|不用|勿|别|不必|不想|不能)\\s*.{0,12}?(?:根据|基于|参考|结合|利用|对照|回顾|梳理|使用|用)\\s*.{0,8}?(?:我|我们)") | text.rlike("\\b(?:without|do not|don t|dont|never|no need to)\\b(?:\\s+[a-z]+){0,8}\\s+(?:my|our)\\b")
+    return _any(text, EXCLUDES)

@@ -882,3 +882,67 @@ def session_windows(spark, d):
     from tessera.streaming.windows import sessions
 
     return sessions(table(spark, d, "events"), "3 hours").select("user_id", "start", "n")
+
+
+# ---- gates ----------------------------------------------------------------------------------------------------------
+
+from tessera.operators import gates  # noqa: E402
+
+
+@query(r"select doc_id, 'credential' as rule, len(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|access[_-]?token|password|secret)\b\s*[:=]\s*[\"'']?[A-Za-z0-9_\-/+]{8,}'))::int as hits from documents where regexp_matches(text, '(?i)\b(?:api[_-]?key|access[_-]?token|password|secret)\b\s*[:=]\s*[\"'']?[A-Za-z0-9_\-/+]{8,}') union all select doc_id, 'home_path', len(regexp_extract_all(text, '(?:/Users/|/home/|[A-Za-z]:\\Users\\)[A-Za-z0-9._-]+'))::int from documents where regexp_matches(text, '(?:/Users/|/home/|[A-Za-z]:\\Users\\)[A-Za-z0-9._-]+')")
+def content_scan(spark, d):
+    return gates.scan(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("select distinct slug, regexp_matches(slug, '^(methods|sources)/.') and not regexp_matches(slug, '(^|/)\\.{1,2}(/|$)') as allowed from documents")
+def safe_targets(spark, d):
+    return table(spark, d, "documents").select("slug").distinct().select("slug", gates.safe_target(F.concat("slug", F.lit(".md")), ["methods/", "sources/"]).alias("allowed"))
+
+
+@query("select o_custkey, count(*) as n, count(*) - count(distinct o_orderpriority) as repeated, count(*) filter (o_orderstatus = 'P') as empty, 0::bigint as nul, count(*) <= 100 and count(*) = count(distinct o_orderpriority) and count(*) filter (o_orderstatus = 'P') = 0 as acceptable from orders group by 1")
+def change_set_shape(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.lit("update").alias("action"), F.col("o_orderpriority").alias("target"), F.when(F.col("o_orderstatus") == "P", "").otherwise("x").alias("content"))
+    return gates.change_set_shape(o, "o_custkey")
+
+
+@query()
+def claim_audit(spark, d):
+    return gates.audit(table(spark, d, "documents").select(F.col("text").alias("markdown")))
+
+
+@query(f"with {_ROUTES}, c as (select event_id, evidence_ids, coalesce(len(evidence_ids), 0) as n, (select list(x) from (select distinct trim(u, ' ') as x from (select unnest(evidence_ids) as u)) where x is not null and x <> '') as ids from ev) select event_id, coalesce(len(ids), 0)::int as kept, (n - coalesce(len(ids), 0))::int as dropped, (select count(*) from (select unnest(ids) as i) where i not in (select evidence_id from evidence where evidence_id is not null)) as unknown from c where evidence_ids is not null")
+def repaired_evidence(spark, d):
+    known = table(spark, d, "evidence").where("evidence_id is not null").select(F.col("evidence_id").alias("id"))
+    out = gates.repair_evidence(_events(spark, d).where("evidence_ids is not null"), "event_id", "evidence_ids", known)
+    return out.select("event_id", F.size("ids").alias("kept"), "dropped", "unknown")
+
+
+@query("with s as (select user_id, arg_max(event_type, event_id) as status from events group by 1), c as (select c_custkey as unit from customer) select count(*) as scope, count(status) as started, count(*) filter (status = 'purchase') as finished, count(*) - count(status) as missing, count(*) = count(*) filter (status = 'purchase') as drained from c left join s on unit = user_id")
+def scope_progress(spark, d):
+    s = ledger.latest(table(spark, d, "events"), "user_id", ["event_id"], "event_type").select(F.col("user_id").alias("unit"), F.col("event_type").alias("status"))
+    return gates.progress(table(spark, d, "customer").select(F.col("c_custkey").alias("unit")), s, ["purchase"])
+
+
+@query()
+def schema_pack_check(spark, d):
+    links = spark.createDataFrame(list(graph.INVERSE.items()) + [("uses", "applies_to"), ("superseded_by", "supersedes"), ("required_by", "depends_on")], "link string, inverse string")
+    rules = spark.createDataFrame(graph.LINK_RULES, "type string, field string, link_type string")
+    return gates.pack_violations(markdown.page_types(spark), links, rules)
+
+
+@query("select route_id, octet_length(encode(events_json)) as bytes, octet_length(encode(events_json)) <= 600 as fits from (select route_id, '{\"domain\":' || coalesce('\"' || domain || '\"', 'null') || ',\"route_id\":\"' || route_id || '\"}' as events_json from routed_episodes)")
+def packet_sizes(spark, d):
+    p = gates.packets(table(spark, d, "routed_episodes"), "route_id", ["domain", "route_id"], 600)
+    return p.select("route_id", F.col("bytes").cast("long").alias("bytes"), "fits")
+
+
+@query("select updated_at, '- ' || coalesce(slug, 'untitled') || ' (' || strftime(updated_at, '%Y-%m-%d') || ')' as line from documents where page_type = 'memo'")
+def digest_lines(spark, d):
+    return gates.digest_lines(table(spark, d, "documents").where("page_type = 'memo'"), "slug", "updated_at")
+
+
+@query("with h as (select slug, arg_min(page_type, doc_id) as page_type, min(sha256(coalesce(text, ''))) as sha from documents group by 1), w as (select slug, page_type, sha256(coalesce(text, '')) as sha from documents) select w.slug, w.page_type as type from w join h on w.slug = h.slug and w.page_type = h.page_type and w.sha = h.sha")
+def verified_hits(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "slug", F.col("page_type").alias("type"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    now = docs.groupBy("slug").agg(F.min_by("type", "doc_id").alias("type"), F.min("sha").alias("sha"))
+    return retrieve.verified(docs, now).select("slug", "type")
