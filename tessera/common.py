@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+            own = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            context.setCheckpointDir("file://" + own)
         root = context._jsc.sc().getCheckpointDir().get()
     return root
 
@@ -36,11 +40,33 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """A scratch folder that exists goes away with the application."""
+    fs, p = _folder(spark, path)
+    fs.deleteOnExit(p)
+
+
 def stage(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write a table in the shared folder and read it again, so that lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, what)
+    spark = df.sparkSession
+    path = scratch(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    until_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete staged tables that no table still to be computed reads."""
+    for df in staged:
+        fs, p = _folder(df.sparkSession, df._staged_at)
+        fs.delete(p, True)
 
 
 def hash_pair(*cols: Column) -> list[Column]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.common import BROADCAST_BYTES, hash_pair, hot_buckets, salt, scratch
+from tessera.common import BROADCAST_BYTES, hash_pair, hot_buckets, salt, scratch, until_exit
 
 BITS = 32768  # of one built-in bitmap
 
@@ -86,6 +86,7 @@ def read_without(spark: SparkSession, path: str, vectors: DataFrame, limit: int
     """
     root = scratch(spark, "vectors")
     vectors.withColumn("part", F.pmod("file", F.lit(1024)).cast("int")).write.partitionBy("part").parquet(root)
+    until_exit(spark, root)
     stored = spark.read.schema("file long, bucket long, bits binary, part int").parquet(root)
     size = stored.agg(F.sum(F.length("bits") + 24)).first()[0] or 0
     wide = spark.read.parquet(path)

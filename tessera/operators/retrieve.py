@@ -39,8 +39,8 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame, compatible: bool = Tru
     )
 
     def value(t):
-        n = count_occurrences(F.col("body"), t["key"])
-        v = F.when(F.contains("named", t["key"]), 8.0).otherwise(0.0) + F.when(F.contains("metadata", t["key"]), 3.0).otherwise(0.0) + F.when(n > 0, 1 + F.log1p(n.cast("double"))).otherwise(0.0)
+        n = count_occurrences(F.col("body"), t["key"])  # counted only where the term occurs at all
+        v = F.when(F.contains("named", t["key"]), 8.0).otherwise(0.0) + F.when(F.contains("metadata", t["key"]), 3.0).otherwise(0.0) + F.when(F.contains("body", t["key"]), 1 + F.log1p(n.cast("double"))).otherwise(0.0)
         return F.struct(t["key"].alias("term"), (t["value"] * v).alias("v"))
 
     scored = body.crossJoin(terms).withColumn("parts", F.filter(F.transform("terms", value), lambda p: p["v"] > 0))
