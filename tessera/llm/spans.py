@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.common import BROADCAST_BYTES, hash_pair, hot_buckets, salted_join, scratch, stage
+from tessera.common import BROADCAST_BYTES, hash_pair, hot_buckets, salted_join, scratch, stage, unstage, until_exit
 
 MIN_CHARS = 160
 _R = 6364136223846793005
@@ -281,6 +281,7 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     root = scratch(spark, "blocks")
     hashes = bare.select("text").mapInArrow(partial(_emit_blocks, size=size, groups=groups), "grp int, h long")
     hashes.repartition(int(min(groups, 4096)), "grp").mapInArrow(partial(_fold_groups, groups=groups), "grp int, bits binary").write.parquet(root)
+    until_exit(spark, root)
     # 2. every window probes it; copies of a text give the same rows, once
     step = -(-size // AROUND)
     around = ", ".join(f"c{k} int" for k in range(AROUND))
@@ -297,10 +298,12 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     members = stage(salted_join(live, agreeing, "g", hot, "inner"), "members")
     few = members.where("not big").select("g", "t1", "t2", "pos")
     many = members.where("big")
+    done = [hits, live, members]
     if many.limit(1).count():
         wanted = _of_texts(bare, many.select("t1", "t2"))
         whole = many.select("t1", "t2", "pos", "k", "h").join(wanted, ["t1", "t2"]).mapInArrow(partial(_full_windows, step=step, min_chars=min_chars), "g long, t1 long, t2 long, pos int")
         whole = stage(whole, "windows")
+        done += [whole, wanted]
         same = whole.groupBy("g").agg(*several).where("lo != hi and anchored").select("g")
         few = few.unionByName(whole.join(same, "g", "left_semi"))
     a = few.where(anchor).select("g", F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("pos").alias("a_pos"))
@@ -314,6 +317,7 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     runs = lines.select("a1", "a2", "b1", "b2", "shift", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r"))
     runs = runs.select("a1", "a2", "b1", "b2", F.col("r.s").alias("a_at"), (F.col("r.s") + F.col("shift")).alias("b_at"), (F.col("r.e") - F.col("r.s") + size).alias("n"))
     runs = stage(runs, "runs")
+    unstage(*done)
     # 5. the text around each run, of the texts that have one; beyond a run no whole block can match, so one block each side is enough
     used = _of_texts(bare, runs.select(F.col("a1").alias("t1"), F.col("a2").alias("t2")).union(runs.select("b1", "b2")))
 
