@@ -4,7 +4,7 @@ A target's rows become, per key, disjoint segments of time in which the key is l
 segment. Records with an orphaned reference then orphan their own children: semi-joins run down the foreign-key graph until nothing is added.
 
 Defined cases: a null reference is none; a null time or key of the referring record: no time, no verdict (no row), a null key part is empty;
-target rows with a null key or loaded_at never exist; repeated target rows change nothing; unreadable bodies hold no references.
+target rows with a null key are none; a target row with a null loaded_at is never there, but its key is known (deleted, not missing or late); repeated target rows change nothing; unreadable bodies hold no references.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from tessera.operators.nested import extract
 def segments(target: DataFrame, key: str) -> DataFrame:
     """(target_key, lo, hi, state): for each key all time, cut into disjoint segments late / there / deleted; lo null is the beginning, hi null the end."""
     far = F.lit("9999-12-31").cast("timestamp")
-    rows = target.where(F.col(key).isNotNull() & F.col("loaded_at").isNotNull()).select(F.col(key).cast("string").alias("target_key"), F.col("loaded_at").cast("timestamp").alias("a"), F.coalesce(F.col("deleted_at").cast("timestamp"), far).alias("b"))
+    start, end = F.col("loaded_at").cast("timestamp"), F.coalesce(F.col("deleted_at").cast("timestamp"), far)
+    ever = F.lit("0001-01-01").cast("timestamp")
+    rows = target.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("target_key"), F.coalesce(start, ever).alias("a"), F.when(start.isNull(), ever).otherwise(end).alias("b"))
     # a row deleted before or as it was loaded still shows that the key was known from then on
     rows = rows.groupBy("target_key", "a").agg(F.max("b").alias("b")).withColumn("b", F.greatest("a", "b"))
     order = Window.partitionBy("target_key").orderBy("a")

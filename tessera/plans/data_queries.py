@@ -91,8 +91,8 @@ refs as (
   union all select 'routed_episodes', route_id, 'events.place_ids', 'places', unnest(e.place_ids), routed_at from ev),
 targets as (select 'chat_room' as tt, id::varchar as k, loaded_at, deleted_at from chat_room union all select 'contact', id::varchar, loaded_at, deleted_at from contact
   union all select 'evidence', evidence_id, loaded_at, deleted_at from evidence union all select 'places', place_id, loaded_at, deleted_at from places),
-j as (select ref_table, ref_key, ref_field, r.tt, target_key, t, count(k) as n, bool_or(loaded_at <= t and (deleted_at is null or deleted_at > t)) as ok, bool_or(loaded_at <= t) as known
-  from refs r left join targets on r.tt = targets.tt and target_key = k and loaded_at is not null where target_key is not null and t is not null group by all)
+j as (select ref_table, ref_key, ref_field, r.tt, target_key, t, count(k) as n, bool_or(loaded_at <= t and (deleted_at is null or deleted_at > t)) as ok, bool_or(coalesce(loaded_at <= t, true)) as known
+  from refs r left join targets on r.tt = targets.tt and target_key = k where target_key is not null and t is not null group by all)
 select distinct ref_table, ref_key, ref_field, target_key, case when n = 0 then 'missing' when known then 'deleted' else 'late' end as reason, strftime(t, '%Y-%m') as period from j where ok is not true""",
     "p2_found": r"""
 with r as (select stream_id, file_seq, json(record) as b from message_raw where json_valid(record)),

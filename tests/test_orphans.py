@@ -9,18 +9,19 @@ DAY = timedelta(days=1)
 
 
 def reason(rows, t):
-    rows = [(a, b) for a, b in rows if a is not None]
     if not rows:
         return "missing"
-    if any(a <= t and (b is None or b > t) for a, b in rows):
+    if any(a is not None and a <= t and (b is None or b > t) for a, b in rows):
         return None
-    return "deleted" if any(a <= t for a, b in rows) else "late"
+    return "late" if all(a is not None and a > t for a, b in rows) else "deleted"
 
 
 def test_segments_against_the_rule(spark):
     r = random.Random(5)
     targets = {f"k{i}": [(T0 + DAY * r.randint(0, 60), None if r.random() < 0.3 else T0 + DAY * r.randint(-5, 80)) for _ in range(r.randint(1, 5))] for i in range(60)}
-    rows = [(k, a, b) for k, v in targets.items() for a, b in v] + [("k1", None, None), (None, T0, None)]
+    targets["k1"].append((None, None))
+    targets["k65"] = [(None, T0)]
+    rows = [(k, a, b) for k, v in targets.items() for a, b in v] + [(None, T0, None)]
     refs = [("t", str(n), "f", "x", f"k{r.randint(0, 70)}", T0 + DAY * r.randint(-10, 90)) for n in range(800)] + [("t", "n", "f", "x", None, T0), ("t", "m", "f", "x", "k1", None)]
     cut = orphans.segments(spark.createDataFrame(rows, "id string, loaded_at timestamp, deleted_at timestamp"), "id")
     df = spark.createDataFrame(refs, "ref_table string, ref_key string, ref_field string, target_table string, target_key string, at timestamp")
