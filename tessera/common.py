@@ -45,6 +45,13 @@ def _folder(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A scratch folder for files that tasks write themselves."""
+    fs, p = _folder(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def until_exit(spark: SparkSession, path: str) -> None:
     """A scratch folder that exists goes away with the application."""
     fs, p = _folder(spark, path)
