@@ -1,8 +1,8 @@
 """Long exact spans shared between records, by fixed-block anchors.
 
 Every text is cut into non-overlapping reference blocks; any common run of `min_chars` holds a whole block of either text. The blocks'
-hashes become a filter in the shared folder, split into groups of fixed size so that neither the driver nor an executor holds more than a few
-of them. Every rolling window of every text probes the filter; only hits and blocks become rows. Rows that meet on a hash are candidate pairs of
+hashes become a filter of raw bit files in the shared folder, one per group of hashes; tasks map these files into memory, so that a machine holds one
+copy, in its page cache, and neither the driver nor a worker holds the filter. Every rolling window of every text probes the filter; only hits and blocks become rows. Rows that meet on a hash are candidate pairs of
 distinct texts (equal texts are one), one row per pair and diagonal, and are extended character by character to the maximal exact repeat.
 
 Scale: the text is read twice and never shuffled as a whole; shuffles carry one narrow row per block and hit, and the text around candidates.
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.common import BROADCAST_BYTES, hash_pair, hot_buckets, salted_join, scratch, stage, unstage, until_exit
+from tessera.common import BROADCAST_BYTES, hash_pair, hot_buckets, make_folder, salted_join, scratch, stage, unstage
 
 MIN_CHARS = 160
 _R = 6364136223846793005
 _RINV = pow(_R, -1, 1 << 64)
 _STEP = 1 << 20
-GROUP_BITS = 1 << 26  # of one filter group: 8 MB
+#: Bits of one filter group: 8 MB, or more so that there are about 16 groups, up to 256 MB (which bounds what the task that builds one holds).
+GROUP_BITS = (1 << 26, 1 << 31)
+GROUPS = 16
 BITS_PER_BLOCK = 16
 GROUP_MOST = 64
 AROUND = 4
@@ -113,10 +115,18 @@ def _context(part: np.ndarray, base: int, at: np.ndarray, around: int, step: int
     return out
 
 
-def _bit_places(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def filter_shape(blocks: int) -> tuple[int, int]:
+    """(groups, bits of a group) of the filter over so many blocks."""
+    need, bits = blocks * BITS_PER_BLOCK, GROUP_BITS[0]
+    while bits < GROUP_BITS[1] and bits * GROUPS < need:
+        bits *= 2
+    return max(1, -(-need // bits)), bits
+
+
+def _bit_places(hashes: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Filter group of each hash, and the four bits it sets there."""
-    group = (hashes % np.uint64(groups)).astype(np.int64)
-    mask = np.uint64(GROUP_BITS - 1)
+    group = (hashes % np.uint64(shape[0])).astype(np.int64)
+    mask = np.uint64(shape[1] - 1)
     other = _mix(hashes + np.uint64(0x632BE59BD9B4E019))
     return group, [((hashes >> np.uint64(20)) & mask).astype(np.int64), (other & mask).astype(np.int64), ((other >> np.uint64(30)) & mask).astype(np.int64), ((hashes + other * np.uint64(3)) >> np.uint64(11) & mask).astype(np.int64)]
 
@@ -129,44 +139,64 @@ def _emit_blocks(batches, size: int, groups: int):
                 yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(groups)).astype(np.int32)), pa.array(h.view(np.int64))], names=["grp", "h"])
 
 
-def _fold_groups(batches, groups: int):
-    """Bits of the filter groups in this partition; a group's blocks are all here."""
+def _fold_groups(batches, shape: tuple[int, int], root: str):
+    """Write the bit file of each filter group in this partition; a group's blocks are all here. A task that runs again writes the same file."""
+    import os
+    import uuid
+
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(root)
     filters: dict[int, np.ndarray] = {}
     for batch in batches:
         hashes = batch.column("h").to_numpy().view(np.uint64)
-        group, places = _bit_places(hashes, groups)
+        group, places = _bit_places(hashes, shape)
         for g in np.unique(group):
-            bits = filters.setdefault(int(g), np.zeros(GROUP_BITS // 8, dtype=np.uint8))
+            bits = filters.setdefault(int(g), np.zeros(shape[1] // 8, dtype=np.uint8))
             own = group == g
             for p in places:
                 p = p[own]
                 np.bitwise_or.at(bits, p >> 3, np.left_shift(np.uint8(1), (p & 7).astype(np.uint8)))
     for g, bits in filters.items():
-        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["grp", "bits"])
+        own = os.path.join(folder, f".{g}.{uuid.uuid4().hex}")
+        with store.open_output_stream(own) as f:
+            f.write(bits.tobytes())
+        store.move(own, os.path.join(folder, f"{g}.bits"))
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32())], names=["grp"])
 
 
 def _load_group(root: str, group: int) -> np.ndarray | None:
-    """One group's bits from the shared folder; a worker keeps up to eight."""
-    import pyarrow.compute as pc
-    import pyarrow.dataset as ds
+    """One group's bits: mapped where the shared folder is mounted, else read, of which a worker keeps two."""
+    import os
+
+    from pyarrow import fs
 
     kept = _CACHE.setdefault("groups", {})
     if (root, group) not in kept:
-        if len(kept) >= 8:
-            kept.pop(next(iter(kept)))
-        rows = ds.dataset(root, format="parquet").to_table(filter=pc.field("grp") == group)["bits"].to_pylist()
-        kept[root, group] = np.frombuffer(rows[0], dtype=np.uint8) if rows else None
+        store, folder = fs.FileSystem.from_uri(root)
+        path = os.path.join(folder, f"{group}.bits")
+        if isinstance(store, fs.LocalFileSystem):
+            if any(r != root for r, _ in kept):
+                kept.clear()
+            kept[root, group] = np.memmap(path, dtype=np.uint8, mode="r") if os.path.exists(path) else None
+        else:
+            while len(kept) >= 2:
+                kept.pop(next(iter(kept)))
+            there = store.get_file_info(path).type == fs.FileType.File
+            kept[root, group] = np.frombuffer(store.open_input_file(path).read(), dtype=np.uint8) if there else None
     return kept[root, group]
 
 
-def _pass(hashes: np.ndarray, root: str, groups: int) -> np.ndarray:
-    group, places = _bit_places(hashes, groups)
+def _pass(hashes: np.ndarray, root: str, shape: tuple[int, int]) -> np.ndarray:
+    group, places = _bit_places(hashes, shape)
     ok = np.zeros(len(hashes), dtype=bool)
-    for g in np.unique(group) if groups > 1 else [0]:
-        bits = _load_group(root, int(g))
+    order = np.argsort(group, kind="stable") if shape[0] > 1 else np.arange(len(hashes))
+    edges = np.searchsorted(group[order], np.arange(shape[0] + 1)) if shape[0] > 1 else [0, len(hashes)]
+    for g in range(shape[0]):
+        at = order[edges[g] : edges[g + 1]]
+        bits = _load_group(root, g) if len(at) else None
         if bits is None:
             continue
-        at = np.flatnonzero(group == g) if groups > 1 else np.arange(len(hashes))
         for p in places:
             p = p[at]
             at = at[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
@@ -193,13 +223,13 @@ def _thin(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, aligned: np.ndarray,
     return keep | aligned
 
 
-def _probe(batches, size: int, groups: int, root: str, around: int, step: int):
+def _probe(batches, size: int, shape: tuple[int, int], root: str, around: int, step: int):
     for batch in batches:
         t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
         for rows, texts in _slices(batch):
             pieces = []
             for doc, pos, h, context in _windows(texts, size, around, step):
-                ok = _pass(h, root, groups)
+                ok = _pass(h, root, shape)
                 doc, pos, h = doc[ok], pos[ok], h[ok]
                 pieces.append((doc, pos, h, *context(doc, pos)))
             if not pieces:
@@ -277,15 +307,15 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     bare = texts.select("t1", "t2", "text")
     # 1. the filter over all reference blocks, its size from their exact number
     blocks = docs.where("doc_id is not null and text is not null").agg(F.sum(F.floor(F.length("text") / size))).first()[0] or 0
-    groups = max(1, -(-blocks * BITS_PER_BLOCK // GROUP_BITS))
+    shape = filter_shape(blocks)
     root = scratch(spark, "blocks")
-    hashes = bare.select("text").mapInArrow(partial(_emit_blocks, size=size, groups=groups), "grp int, h long")
-    hashes.repartition(int(min(groups, 4096)), "grp").mapInArrow(partial(_fold_groups, groups=groups), "grp int, bits binary").write.parquet(root)
-    until_exit(spark, root)
+    make_folder(spark, root)
+    hashes = bare.select("text").mapInArrow(partial(_emit_blocks, size=size, groups=shape[0]), "grp int, h long")
+    hashes.repartition(min(shape[0], 100_000), "grp").mapInArrow(partial(_fold_groups, shape=shape, root=root), "grp int").count()
     # 2. every window probes it; copies of a text give the same rows, once
     step = -(-size // AROUND)
     around = ", ".join(f"c{k} int" for k in range(AROUND))
-    hits = bare.mapInArrow(partial(_probe, size=size, groups=groups, root=root, around=min_chars - step, step=step), f"h long, t1 long, t2 long, pos int, {around}")
+    hits = bare.mapInArrow(partial(_probe, size=size, shape=shape, root=root, around=min_chars - step, step=step), f"h long, t1 long, t2 long, pos int, {around}")
     hits = stage(hits, "hits")
     # 3. hashes that an anchor of one text and a window of another share, and agreement around them
     anchor = F.col("pos") % size == 0

@@ -45,6 +45,20 @@ def test_groups_beyond_the_limit(spark, monkeypatch):
     assert pairs(spark, rows, 16) == brute(rows, 16)
 
 
+def test_many_filter_groups(spark, monkeypatch):
+    monkeypatch.setattr(spans, "GROUP_BITS", (1 << 10, 1 << 10))
+    rows = corpus(5, 16)
+    assert spans.filter_shape(5000)[0] > 50
+    assert pairs(spark, rows, 16) == brute(rows, 16)
+
+
+def test_filter_shape():
+    assert spans.filter_shape(0) == (1, 1 << 26)
+    for blocks in (1_000, 10**7, 10**9, 10**12):
+        groups, bits = spans.filter_shape(blocks)
+        assert groups * bits >= blocks * spans.BITS_PER_BLOCK and spans.GROUP_BITS[0] <= bits <= spans.GROUP_BITS[1]
+
+
 def test_short_shared_line_pairs_nobody(spark):
     r = random.Random(8)
     text = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
