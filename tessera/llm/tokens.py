@@ -58,17 +58,18 @@ def encoder(folder: str):
     return _KEPT[folder].encode_ordinary
 
 
-def cuts(codes: np.ndarray) -> np.ndarray:
-    """Places after which the last WINDOW characters' hash calls for a cut."""
-    if len(codes) < WINDOW:
-        return np.zeros(0, dtype=np.int64)
-    x = codes.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    n = len(codes) - WINDOW + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(WINDOW):
-        h += x[i : i + n] * _FACTORS[i]
-    return np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + WINDOW
+def cuts(codes: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Places after which the last WINDOW characters' hash calls for a cut; in steps, so that a text of any length takes bounded memory beside its own."""
+    found = []
+    for lo in range(0, len(codes) - WINDOW + 1, step):
+        x = codes[lo : lo + step + WINDOW - 1].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        n = len(x) - WINDOW + 1
+        h = np.zeros(n, dtype=np.uint64)
+        for i in range(WINDOW):
+            h += x[i : i + n] * _FACTORS[i]
+        found.append(np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + WINDOW + lo)
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
 
 
 def chunk(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:

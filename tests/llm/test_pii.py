@@ -72,6 +72,12 @@ def test_numbering_and_long_text(spark, model):
     assert text[first.start : first.end] == "326.555.0149"
 
 
+def test_parts(model):
+    assert pii.parts("", 5) == [""] and pii.parts("abcdef", 4) == ["abcd", "ef"] and pii.parts("ab\ncd ef", 5) == ["ab\n", "cd ef"]
+    text = "call 326.555.0149 after six\n" * 400
+    assert [x for x in pii.pieces(model, ["", text], room=1000)] == [x for x in pii.pieces(model, ["", text])]
+
+
 def test_table_is_the_same_everywhere():
     a, b = labels.labelled_table(50), labels.labelled_table(50)
     assert a == b and all(t[x:y].strip() for t, s in a for x, y, _ in s)

@@ -40,6 +40,13 @@ def test_chunks_give_the_text_back_and_follow_content():
     assert len(inner[0] & inner[1] & inner[2]) >= len(inner[0]) - 2
 
 
+def test_steps_change_no_cut():
+    r = random.Random(7)
+    codes = np.array([r.randrange(97, 123) for _ in range(5000)], dtype=np.uint32)
+    assert tokens.cuts(codes).tolist() == tokens.cuts(codes, step=100).tolist() and len(tokens.cuts(codes)) > 5
+    assert len(tokens.cuts(codes[:10])) == 0
+
+
 def test_whole_table(spark, encode):
     r = random.Random(5)
     line = "an often repeated line of the vault. " * 40
