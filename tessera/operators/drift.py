@@ -10,6 +10,8 @@ stream_id or file_seq belong to no file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ FIELD_NAMES = {
     "is_sender": ["issender", "issend", "isself"],
     "conversation_id": ["conversationid", "strtalker", "chatid"],
 }
+#: Columns every unified table has, whether or not a file has the field.
+MESSAGE_FIELDS = ["local_id", "server_id", "create_time", "sort_seq", "local_type", "real_sender_id", "message_content", "source", "is_sender"]
 #: JSON types as bits of the lattice.
 TYPE_BITS = {"boolean": 1, "integer": 2, "number": 4, "string": 8, "object": 16, "array": 32}
 
@@ -65,16 +69,32 @@ def _parsed(raw: DataFrame, carry: list[str]) -> DataFrame:
     return raw.select(*carry, F.try_parse_json("record").alias("_v"))
 
 
+def _masks(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., field_name, mask) of readable records."""
+    fields = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    seen = fields.select(*keys, F.col("key").alias("field_name"), type_bit("value").alias("bit"))
+    return seen.groupBy(*keys, "field_name").agg(F.bit_or("bit").alias("mask"))
+
+
 def file_schemas(raw: DataFrame) -> DataFrame:
     """(stream_id, file_seq, field, field_name, field_type) of every file."""
-    spark = raw.sparkSession
     parsed = _parsed(raw, ["stream_id", "file_seq"]).where("stream_id is not null and file_seq is not null and schema_of_variant(_v) like 'OBJECT%'")
-    fields = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-    seen = fields.select("stream_id", "file_seq", F.col("key").alias("field_name"), type_bit("value").alias("bit"))
-    names = seen.groupBy("stream_id", "file_seq", "field_name").agg(F.bit_or("bit").alias("mask"))
+    names = _masks(parsed, ["stream_id", "file_seq"])
     return names.select("stream_id", "file_seq", canonical_field(F.col("field_name")).alias("field"), "field_name", promote(F.col("mask")).alias("field_type"))
 
 
+def union_schema(raw: DataFrame) -> dict[str, tuple[list[str], str | None]]:
+    """field -> (its names, promoted type) over all readable records, those of no file included; only names and types reach the driver."""
+    names = _masks(_parsed(raw, []).where("schema_of_variant(_v) like 'OBJECT%'"), []).where("field_name is not null").withColumn("field", canonical_field(F.col("field_name")))
+    rows = names.groupBy("field").agg(F.collect_list("field_name").alias("names"), promote(F.bit_or("mask")).alias("type")).collect()  # one row per field
+    out = {}
+    for r in sorted(rows, key=lambda r: r.field):
+        known = FIELD_NAMES.get(r.field, [])
+        plain = lambda n: re.sub("[_-]", "", n.lower())
+        out[r.field] = (sorted(r["names"], key=lambda n: (n != r.field, known.index(plain(n)) if plain(n) in known else len(known), n)), r["type"])
+    return out
+
+
 def schema_changes(raw: DataFrame) -> DataFrame:
     """(stream_id, file_seq, change_kind, field_name): each file against the stream's present file before it, in order."""
     schemas = file_schemas(raw)
@@ -114,31 +134,52 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     return changes.select("stream_id", "file_seq", "c.change_kind", "c.field_name")
 
 
-def _text(field: str) -> Column:
-    """A field's value as text, whatever name it has in the record; of an object, the id it holds."""
-    names = {"local_id": ["local_id", "localId", "LocalID", "msg_local_id"], "server_id": ["server_id", "serverId", "MsgSvrID", "svr_id"], "create_time": ["create_time", "createTime", "CreateTime", "create_ts"],
-             "sort_seq": ["sort_seq", "sortSeq"], "local_type": ["local_type", "localType", "msg_type"], "real_sender_id": ["real_sender_id", "senderId", "sender_id", "fromUser"],
-             "message_content": ["message_content", "content", "messageContent", "StrContent"], "source": ["source", "msg_source"], "is_sender": ["is_sender", "isSender", "isSend"]}[field]
-    plain = [F.try_variant_get("_v", f"$.{n}", "string") for n in names]
-    return F.coalesce(*plain)
-
-
 def unified_messages(raw: DataFrame) -> DataFrame:
-    """Every readable record once, cast to the union schema of the message fields."""
+    """Every readable record once, cast to the union schema: the message fields in their types, every other field of any file in its promoted type.
+
+    Objects and arrays are JSON text, fields with nulls only are text. other_values has, by name, what these columns don't hold as it is: another name of a
+    field in the same record, a value its type can't hold, an object sender, a time that isn't whole seconds. A further field whose name is taken, letter case aside, gets a number.
+    """
+    schema = union_schema(raw)
     parsed = _parsed(raw, ["stream_id", "file_seq", "line_no"]).where("schema_of_variant(_v) like 'OBJECT%'")
-    when = F.try_to_number(_text("create_time"), F.lit("9999999999999999")).cast("bigint")
-    sender = _text("real_sender_id")
-    inner = F.get_json_object(sender, "$.wxid")
-    cols = parsed.select(
-        "stream_id", "file_seq", "line_no",
-        _text("local_id").try_cast("bigint").alias("local_id"),
-        _text("server_id").alias("server_id"),
-        F.coalesce(F.when(when > 100_000_000_000, F.floor(when / 1000)).otherwise(when), F.unix_timestamp(_text("create_time").try_cast("timestamp"))).cast("bigint").alias("create_time"),
-        _text("sort_seq").try_cast("bigint").alias("sort_seq"),
-        _text("local_type").try_cast("int").alias("local_type"),
-        F.when(sender.startswith("{"), F.coalesce(inner, F.get_json_object(sender, "$.id"), F.get_json_object(sender, "$.username"), sender)).otherwise(sender).alias("real_sender_id"),
-        _text("message_content").alias("message_content"),
-        _text("source").alias("source"),
-        F.when(F.lower(_text("is_sender")).isin("1", "true"), 1).when(F.lower(_text("is_sender")).isin("0", "false"), 0).alias("is_sender"),
-    )
-    return cols.distinct()
+    keys = ["stream_id", "file_seq", "line_no"]
+    names = [(field, n) for field, (spelled, _) in schema.items() for n in spelled]
+    held = parsed.select(*keys, F.col("_v").cast("map<string,variant>").alias("_m"))
+    texts = held.select(*keys, *[F.try_variant_get(F.element_at("_m", F.lit(n)), "$", "string").alias(f"_t{i}") for i, (_, n) in enumerate(names)])
+    fields = [*MESSAGE_FIELDS, *(f for f in schema if f not in MESSAGE_FIELDS)]
+    spelled = {f: [F.col(f"_t{i}") for i, (g, _) in enumerate(names) if g == f] for f in fields}
+    chosen = texts.select("*", *[F.coalesce(*spelled[f], F.lit(None).cast("string")).alias(f"_f{j}") for j, f in enumerate(fields)])
+    at = {f: F.col(f"_f{j}") for j, f in enumerate(fields)}
+    cast, whole = {}, {}  # the value as cast, and whether it holds the text
+    for f in fields:
+        t, kind = at[f], schema.get(f, ([], None))[1]
+        if f in ("local_id", "sort_seq", "local_type"):
+            cast[f] = t.try_cast("int" if f == "local_type" else "bigint")
+        elif f == "create_time":
+            when = F.try_to_number(t, F.lit("9999999999999999")).cast("bigint")
+            cast[f] = F.coalesce(F.when(when > 100_000_000_000, F.floor(when / 1000)).otherwise(when), F.unix_timestamp(t.try_cast("timestamp"))).cast("bigint")
+            whole[f] = F.coalesce((when == cast[f]) | (when == cast[f] * 1000), F.lit(False))
+        elif f == "real_sender_id":
+            inner = [F.get_json_object(t, f"$.{n}") for n in ("wxid", "id", "username")]
+            cast[f] = F.when(t.startswith("{"), F.coalesce(*inner, t)).otherwise(t)
+            whole[f] = cast[f] == t
+        elif f == "is_sender":
+            cast[f] = F.when(F.lower(t).isin("1", "true"), 1).when(F.lower(t).isin("0", "false"), 0)
+        elif f not in MESSAGE_FIELDS and kind in ("boolean", "integer", "number"):
+            cast[f] = t.try_cast({"boolean": "boolean", "integer": "bigint", "number": "double"}[kind])
+        else:
+            cast[f] = t
+        if f in ("local_id", "sort_seq", "local_type"):  # a fraction or blanks don't survive the cast
+            whole[f] = F.coalesce(cast[f].cast("string") == t, F.lit(False))
+        whole.setdefault(f, cast[f].isNotNull())
+    rest = [F.when(F.col(f"_t{i}").isNotNull() & ((F.col(f"_t{i}") != at[f]) | ~whole[f]), F.struct(F.lit(n).alias("field_name"), F.col(f"_t{i}").alias("value"))) for i, (f, n) in enumerate(names)]
+    others = F.array_compact(F.array(*rest)) if rest else F.array().cast("array<struct<field_name:string,value:string>>")
+    taken, labels = {*keys, "other_values"}, {}
+    for f in fields:
+        label, k = f or "_", 1
+        while label.lower() in taken:
+            k += 1
+            label = f"{f}_{k}"
+        taken.add(label.lower())
+        labels[f] = label
+    return chosen.select(*keys, *[cast[f].alias(labels[f]) for f in fields], others.alias("other_values")).distinct()
