@@ -1,8 +1,9 @@
 """Ordered conversations from single chat rows, disentangled into reply trees; unusable conversations come out as dropped, with reasons.
 
-Every row is scored against the few rows before it: how soon it follows, whether it quotes or mentions the other's author, how much they share in words, and
-whether the speaker changes. The likeliest parent is taken, or none, and the links form trees. Conversations are cut into blocks of rows, each with
-the rows it may link back to, so no task holds a whole conversation; trees that cross blocks are joined by pointer doubling over the rows at the borders.
+Every row is scored against all rows before it: how soon it follows, whether it quotes or mentions the other's author, how much they share in words, and
+whether the speaker changes. The likeliest parent is taken, or none, and the links form trees. The few rows just before are scored first, in blocks of rows with
+the rows before them; farther ones come in pieces of PIECE rows, and a piece is scored unless an upper bound of its scores shows that it can't hold a likelier parent.
+No task holds a whole conversation; trees that cross blocks are joined by pointer doubling over the rows that links across blocks lead to.
 
 Defined cases: rows delivered more than once are one turn (the first loaded, then the least text, counts), but every delivered row counts for the reasons; a row_id
 that is no number makes its conversation broken; times without a zone are UTC; rows without conversation_id belong to none and are left out; an empty table
@@ -15,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.common import stage
+from tessera.common import hot_buckets, salted_join, stage
 
+#: Rows before a row that are scored first, and rows in a piece of farther ones; neither limits which parent is found.
 LOOK_BACK = 8
+PIECE = 64
 BLOCK = 4096
 HALF_LIFE_S = 600.0
 ROOT_SCORE = 0.35
@@ -78,15 +81,47 @@ def _score(c: Column) -> Column:
     return F.lit(0.45) * soon + F.lit(3.0) * quoted + F.lit(0.8) * named + F.lit(0.8) * overlap + F.lit(0.25) * turn
 
 
+def _bound(p: str) -> Column:
+    """At least the score of any row of piece p."""
+    at = F.unix_timestamp("row.at")
+    gap = F.greatest(F.lit(0), F.col(f"{p}.first") - at, at - F.col(f"{p}.last")).cast("double")
+    soon = F.when(at.isNull() | F.col(f"{p}.first").isNull(), 0.0).otherwise(F.exp(-gap * F.lit(0.6931471805599453 / HALF_LIFE_S)))
+    quoted = F.coalesce(F.array_contains(f"{p}.texts", F.xxhash64("row.quoted_text")) & (F.length("row.quoted_text") > 0), F.lit(False)).cast("double")
+    low = F.lower(F.coalesce("row.text", F.lit("")))
+    named = F.exists(f"{p}.senders", lambda x: F.coalesce(F.col("row.quoted_author") == x, F.lit(False)) | F.contains(low, F.concat(F.lit("@"), x))).cast("double")
+    # n shared words of at most as many in the other row: n / sqrt(a * b) <= sqrt(n / a)
+    overlap = F.coalesce(F.sqrt(F.try_divide(F.size(F.array_intersect("tokens", f"{p}.tokens")).cast("double"), F.size("tokens").cast("double"))), F.lit(0.0))
+    return F.lit(0.45) * soon + F.lit(3.0) * quoted + F.lit(0.8) * named + F.lit(0.8) * overlap + F.lit(0.25)
+
+
+def _farther(placed: DataFrame, near: DataFrame) -> DataFrame:
+    """(conversation_id, number, best) over the rows before the near ones, in the pieces that may hold a likelier parent."""
+    seen = F.struct("number", F.col("row.at").alias("at"), F.col("row.sender").alias("sender"), F.col("row.text").alias("text"), "tokens")
+    pieces = placed.withColumn("tokens", _tokens(F.col("row.text"))).groupBy("conversation_id", F.floor((F.col("number") - 1) / PIECE).alias("piece")).agg(
+        F.collect_list(seen).alias("rows"), F.min("number").alias("low"), F.min(F.unix_timestamp("row.at")).alias("first"), F.max(F.unix_timestamp("row.at")).alias("last"),
+        F.collect_set("row.sender").alias("senders"), F.collect_set(F.xxhash64("row.text")).alias("texts"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"),
+    )
+    pieces = pieces.select("conversation_id", F.struct("rows", "low", "first", "last", "senders", "texts", "tokens").alias("p"))  # bounded: PIECE rows
+    hot = hot_buckets(placed, F.xxhash64("conversation_id"))
+    pairs = salted_join(near.where(F.col("position") > LOOK_BACK), pieces, "conversation_id", hot, "inner")
+    may = (F.col("p.low") < F.col("number")) & (_bound("p") + F.lit(1e-9) >= F.greatest(F.coalesce("best.score", F.lit(0.0)), F.lit(ROOT_SCORE)))
+    pairs = pairs.where(may).withColumn("earlier", F.filter("p.rows", lambda c: c["number"] < F.col("number")))
+    return pairs.select("conversation_id", "number", _best().alias("best"))
+
+
+def _best() -> Column:
+    return F.array_max(F.transform("earlier", lambda c: F.struct(_score(c).alias("score"), c["number"].alias("number"))))
+
+
 def _trees(batches):
     """Root of every row within its block; a link to a row before the block stays open. Batches come sorted by conversation, block and number."""
     now, root = None, {}
     for batch in batches:
         roots = []
-        for conv, block, number, parent, context in zip(*(batch.column(c).to_pylist() for c in ("conversation_id", "block", "number", "parent", "context"))):
+        for conv, block, number, parent in zip(*(batch.column(c).to_pylist() for c in ("conversation_id", "block", "number", "parent"))):
             if (conv, block) != now:
                 now, root = (conv, block), {}
-            root[number] = number if context or parent is None else root.get(parent, parent)
+            root[number] = number if parent is None else root.get(parent, parent)
             roots.append(root[number])
         i = batch.schema.get_field_index("root")
         yield batch.set_column(i, "root", pa.array(roots, pa.int64()))
@@ -99,16 +134,17 @@ def linked(rows: DataFrame) -> DataFrame:
     placed = all_turns.where("number is not null").withColumn("home", block)
     into_next = (F.pmod(F.col("number") - 1, F.lit(BLOCK)) >= BLOCK - LOOK_BACK)
     copies = placed.withColumn("block", F.explode(F.when(into_next, F.array("home", F.col("home") + 1)).otherwise(F.array("home")))).withColumn("context", F.col("block") != F.col("home"))
-    # placed first, so that tokens are made where the windows run and never travel
+    # placed first, so that tokens are made where the windows run
     copies = copies.repartition("conversation_id", "block").withColumn("tokens", _tokens(F.col("row.text")))
     order = Window.partitionBy("conversation_id", "block").orderBy("number")
     seen = F.struct("number", F.col("row.at").alias("at"), F.col("row.sender").alias("sender"), F.col("row.text").alias("text"), "tokens")
     earlier = F.filter(F.collect_list(seen).over(order.rowsBetween(-LOOK_BACK, -1)), lambda c: c.isNotNull())
-    best = F.array_max(F.transform("earlier", lambda c: F.struct(_score(c).alias("score"), c["number"].alias("number"))))
-    chosen = copies.withColumn("earlier", earlier).withColumn("best", best)
-    chosen = chosen.withColumn("parent", F.when(F.col("best.score") >= ROOT_SCORE, F.col("best.number"))).withColumn("score", F.when(F.col("parent").isNotNull(), F.col("best.score")))
-    narrow = chosen.select("conversation_id", "block", "number", "parent", "score", "context", F.lit(None).cast("long").alias("root"))
-    trees = narrow.sortWithinPartitions("conversation_id", "block", "number").mapInArrow(_trees, narrow.schema).where("not context").drop("context")
+    place = F.row_number().over(order) + F.when(F.col("home") > 0, LOOK_BACK).otherwise(0)  # of a later block, every row may have farther ones
+    near = copies.withColumn("earlier", earlier).withColumn("position", place).where("not context").select("conversation_id", "number", "row", "tokens", "position", _best().alias("best"))
+    scored = near.select("conversation_id", "number", "best").unionByName(_farther(placed, near)).groupBy("conversation_id", "number").agg(F.max("best").alias("best"))
+    likely = F.coalesce(F.col("best.score") >= ROOT_SCORE, F.lit(False))
+    narrow = scored.select("conversation_id", F.floor((F.col("number") - 1) / BLOCK).alias("block"), "number", F.when(likely, F.col("best.number")).alias("parent"), F.when(likely, F.col("best.score")).alias("score"), F.lit(None).cast("long").alias("root"))
+    trees = narrow.repartition("conversation_id", "block").sortWithinPartitions("conversation_id", "block", "number").mapInArrow(_trees, narrow.schema)
     found = trees.withColumn("open", F.floor((F.col("root") - 1) / BLOCK) != F.col("block")).drop("block")
     top = all_turns.agg(F.max("number")).first()[0] or 0
     if top > BLOCK:
@@ -117,9 +153,9 @@ def linked(rows: DataFrame) -> DataFrame:
 
 
 def _close(found: DataFrame) -> DataFrame:
-    """Follow open roots over block borders; only the LOOK_BACK rows at each border take part, and every round halves the way left."""
-    at_border = F.pmod(F.col("number") - 1, F.lit(BLOCK)) >= BLOCK - LOOK_BACK
-    border = stage(found.where(at_border).select("conversation_id", F.col("number").alias("b"), F.col("root").alias("to"), "open"), "border")
+    """Follow open roots over block borders; only the rows that open roots lead to take part, and every round halves the way left."""
+    led_to = found.where("open").select("conversation_id", F.col("root").alias("number")).distinct()
+    border = stage(found.join(led_to, ["conversation_id", "number"], "left_semi").select("conversation_id", F.col("number").alias("b"), F.col("root").alias("to"), "open"), "border")
     while border.where("open").limit(1).count():
         ahead = border.select("conversation_id", F.col("b").alias("to"), F.col("to").alias("to2"), F.col("open").alias("open2"))
         step = border.join(ahead, ["conversation_id", "to"], "left")

@@ -61,6 +61,34 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert {x.position: (x.reply_to, x.thread) for x in conversations.rebuild(df)[0].collect()} == whole
 
 
+def test_parents_over_all_earlier_rows(spark, monkeypatch):
+    r = random.Random(4)
+    words, who = ["alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega"], ["me", "you", "they", "ann", "bob"]
+    rows, m = [], 0
+    for i in range(1, 161):
+        m += r.choice([0, 1, 3, 40, 400])
+        text = " ".join(r.sample(words, r.randint(0, 3))) + (f" @{r.choice(who)}" if r.random() < 0.1 else "")
+        at = None if r.random() < 0.05 else (T + timedelta(minutes=m if r.random() < 0.8 else r.randint(0, m))).strftime("%Y-%m-%d %H:%M:%S")
+        quote = (r.choice(rows)[5], r.choice([None, *who])) if rows and r.random() < 0.1 else (None, None)
+        rows.append(("far", str(i), r.choice(who), "me", at, text, *quote))
+    df = table(spark, rows)
+    placed = conversations.turns(df).withColumn("tokens", conversations._tokens(F.col("row.text")))
+    one = placed.select("conversation_id", "number", "row", "tokens")
+    seen = F.struct("number", F.col("row.at").alias("at"), F.col("row.sender").alias("sender"), F.col("row.text").alias("text"), "tokens")
+    pairs = one.join(placed.select("conversation_id", seen.alias("c")), "conversation_id").where("c.number < number")
+    best = pairs.groupBy("number").agg(F.max(F.struct(conversations._score(F.col("c")).alias("score"), F.col("c.number").alias("parent"))).alias("b"))
+    want = {x.number: x.b.parent if x.b.score >= conversations.ROOT_SCORE else None for x in best.collect()} | {1: None}
+    assert any(p and p < n - conversations.LOOK_BACK for n, p in want.items())
+    roots = {}
+    for n in sorted(want):
+        roots[n] = n if want[n] is None else roots[want[n]]
+    for block, piece in ((4096, 64), (16, 8)):
+        monkeypatch.setattr(conversations, "BLOCK", block)
+        monkeypatch.setattr(conversations, "PIECE", piece)
+        got = {x.number: (x.parent, x.root) for x in conversations.linked(df).collect()}
+        assert got == {n: (want[n], roots[n]) for n in want}
+
+
 def test_empty(spark):
     kept, dropped = conversations.rebuild(table(spark, []))
     assert kept.count() == 0 == dropped.count()
