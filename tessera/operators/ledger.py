@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def routes(episodes: DataFrame) -> DataFrame:
@@ -74,13 +78,40 @@ def after_terminal(log: DataFrame, unit: str, order: str, is_terminal: Column) -
     return log.join(end, unit).where(F.col(order) > F.col("_end")).drop("_end")
 
 
-def chain(log: DataFrame, key: str, order: str, *values: str) -> DataFrame:
-    """log with previous_hash and event_hash linked over each key's events in order: the hash covers the event and its predecessor's content hash."""
-    own = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values]), 256)
-    linked = log.withColumn("_own", own).withColumn("previous_hash", F.lag("_own").over(Window.partitionBy(key).orderBy(order)))
+def _own_hash(values: tuple[str, ...]) -> Column:
+    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values]), 256)
+
+
+def content_links(log: DataFrame, key: str, order: str, *values: str) -> DataFrame:
+    """log with previous_hash, the hash of the content of the event before, and event_hash over it and the event: covers two events, not the history (chain does)."""
+    linked = log.withColumn("_own", _own_hash(values)).withColumn("previous_hash", F.lag("_own").over(Window.partitionBy(key).orderBy(order)))
     return linked.withColumn("event_hash", F.sha2(F.concat_ws("\u001f", F.coalesce("previous_hash", F.lit("")), "_own"), 256)).drop("_own")
 
 
+def _fold(batches):
+    """Batches come sorted by key and order; the last two columns are the key and the content's hash."""
+    key, last = object(), None
+    for batch in batches:
+        before, hashes = [], []
+        for k, own in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            if k != key:
+                key, last = k, None
+            before.append(last)
+            last = hashlib.sha256(f"{last or ''}\u001f{own}".encode()).hexdigest()
+            hashes.append(last)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[*batch.schema.names[:-2], "previous_hash", "event_hash"])
+
+
+def chain(log: DataFrame, key: str, order: str, *values: str) -> DataFrame:
+    """log with previous_hash, the event_hash of the key's event before, and event_hash over it and the event's content, so that each hash covers the whole history.
+
+    A hash depends on the one before, so a key is one sorted stream; memory holds one batch and the last hash, never a key's events.
+    """
+    shaped = log.select(*[F.col(f"`{c}`") for c in log.columns], F.col(key).alias("_key"), _own_hash(values).alias("_own"))
+    placed = shaped.repartition("_key").sortWithinPartitions("_key", order)
+    return placed.mapInArrow(_fold, T.StructType([*log.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())]))
+
+
 def broken_links(log: DataFrame, key: str, order: str, value: str, previous: str) -> DataFrame:
     """Events whose `previous` isn't the `value` of the event before them."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(order))

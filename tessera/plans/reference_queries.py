@@ -591,7 +591,13 @@ def events_after_terminal(spark, d):
 
 @query("with o as (select *, sha256(event_id::varchar || chr(31) || coalesce(event_type, '')) as own from events), c as (select event_id, own, lag(own) over (partition by user_id order by event_id) as previous_hash from o) select event_id, previous_hash, sha256(coalesce(previous_hash, '') || chr(31) || own) as event_hash from c")
 def hash_chain(spark, d):
-    return ledger.chain(table(spark, d, "events"), "user_id", "event_id", "event_id", "event_type").select("event_id", "previous_hash", "event_hash")
+    return ledger.content_links(table(spark, d, "events"), "user_id", "event_id", "event_id", "event_type").select("event_id", "previous_hash", "event_hash")
+
+
+@query("with recursive o as (select event_id, user_id, sha256(event_id::varchar || chr(31) || coalesce(event_type, '')) as own, row_number() over (partition by user_id order by event_id) as r from events), c as (select event_id, user_id, r, null::varchar as previous_hash, sha256(chr(31) || own) as event_hash from o where r = 1 union all select o.event_id, o.user_id, o.r, c.event_hash, sha256(c.event_hash || chr(31) || o.own) from c join o on o.user_id is not distinct from c.user_id and o.r = c.r + 1) select event_id, previous_hash, event_hash from c")
+def hash_chain_folded(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return ledger.chain(events, "user_id", "event_id", "event_id", "event_type").select("event_id", "previous_hash", "event_hash")
 
 
 @query("with o as (select event_id, user_id, sha256(event_type) as h from events), p as (select *, case when event_id % 97 = 0 then 'x' else lag(h) over (partition by user_id order by event_id) end as prev, lag(h) over (partition by user_id order by event_id) as b from o) select event_id from p where prev is distinct from b")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -83,6 +84,25 @@ def test_chain(spark):
     assert ledger.broken_links(own, "k", "n", "h", "p").count() == 1
 
 
+def test_chain_covers_the_whole_history(spark):
+    rows = [(k, n, f"{k}{n}") for k in ("a", "b", None) for n in range(1, 6)]
+    brute = lambda rows: {(k, n): h for k in {r[0] for r in rows} for n, h in _folded([r for r in rows if r[0] == k])}
+    get = lambda rows: ledger.chain(spark.createDataFrame(rows, "k string, n int, v string"), "k", "n", "v")
+    linked = get(rows)
+    assert {(r.k, r.n): r.event_hash for r in linked.collect()} == brute(rows)
+    assert ledger.broken_links(linked, "k", "n", "event_hash", "previous_hash").count() == 0
+    changed = get([(k, n, "x" if (k, n) == ("a", 2) else v) for k, n, v in rows])
+    was, now = ({(r.k, r.n): r.event_hash for r in df.collect()} for df in (linked, changed))
+    assert {x for x in was if was[x] != now[x]} == {("a", n) for n in range(2, 6)}
+
+
+def _folded(rows):
+    last = ""
+    for _, n, v in sorted(rows, key=lambda r: r[1]):
+        last = hashlib.sha256(f"{last}\x1f{hashlib.sha256(v.encode()).hexdigest()}".encode()).hexdigest()
+        yield n, last
+
+
 def test_places(spark):
     m = spark.createDataFrame([("p1", " 东京 "), ("p2", "城里"), ("p3", "巴里"), ("p4", "ＬＯＮＤＯＮ"), ("p5", "none")], "place_id string, raw string")
     c = spark.createDataFrame([("c1", "东京", "东京都", "city", True), ("c2", "城里", "A", "city", True), ("c3", "城里", "A", "city", True), ("c4", "巴里", "B", "city", False), ("c5", "london", "London", "city", True)], "candidate_id string, raw string, canonical string, kind string, safe boolean")
