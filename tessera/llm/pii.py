@@ -152,6 +152,13 @@ def redact(df: DataFrame, names: list[str]) -> DataFrame:
     return ordered.mapInArrow(partial(_masked, model=model, names=names), T.StructType(ordered.schema.fields))
 
 
+def redacted(message: DataFrame, rows: DataFrame) -> DataFrame:
+    """All rows of the chat tables with their texts redacted: tbl, and the columns of both tables, null where a table lacks one."""
+    a = redact(message, ["message_content"]).withColumn("tbl", F.lit("message"))
+    b = redact(rows, ["text", "quoted_text"]).withColumn("tbl", F.lit("synthetic_rows"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def found(message: DataFrame, rows: DataFrame) -> DataFrame:
     """(tbl, row_key, field_name, kind, occurrence), distinct, of the chat tables."""
     a = tag(message, {"row_key": F.col("row_no"), "field_name": F.lit("message_content")}, F.col("message_content")).withColumn("tbl", F.lit("message"))

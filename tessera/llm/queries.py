@@ -25,7 +25,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(table(spark, d, "message"), ["message_content"])
+    return pii.redacted(table(spark, d, "message"), table(spark, d, "synthetic_rows"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

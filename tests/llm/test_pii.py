@@ -63,6 +63,17 @@ def test_found_and_redacted(spark):
     assert pii.found(message.where("false"), rows.where("false")).count() == 0
 
 
+def test_every_text_of_the_chat_tables_is_redacted(spark, tmp_path):
+    queries = pytest.importorskip("tessera.llm.queries")
+    spark.createDataFrame([(1, "call 326.555.0149 after six")], "row_no long, message_content string").write.parquet(f"{tmp_path}/message.parquet")
+    rows = [("c", "1", "signed, Anselka Yarrowitz", "id 904405199009221362"), ("c", "2", None, "")]
+    spark.createDataFrame(rows, "conversation_id string, row_id string, text string, quoted_text string").write.parquet(f"{tmp_path}/synthetic_rows.parquet")
+    out = {(r.tbl, r.row_no, r.row_id): (r.message_content, r.text, r.quoted_text) for r in queries.p5_redacted(spark, str(tmp_path)).collect()}
+    assert out == {
+        ("message", 1, None): ("call [PHONE] after six", None, None), ("synthetic_rows", None, "1"): (None, "signed, [NAME]", "id [ID_NUMBER]"), ("synthetic_rows", None, "2"): (None, None, ""),
+    }
+
+
 def test_numbering_and_long_text(spark, model):
     text = "call 326.555.0149 after six; " * 3000
     df = spark.createDataFrame([(1, text)], "id long, t string")
