@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,18 +60,23 @@ def duplicate_names(names: DataFrame) -> DataFrame:
     return clean.groupBy("name").agg(F.count("*").alias("owners"), F.min("owner").alias("first_owner")).where("owners > 1")
 
 
-def closure(edges: DataFrame, roots: DataFrame, rounds: int = 100) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, depth): everything reachable from roots (node) over edges (src, dst), each node at its least depth.
 
     A semi-naive fixpoint: every round joins only the nodes that are new. Rounds are written to the shared folder to cut lineage.
+    A stated bound that leaves nodes is an error.
     """
     done = fresh = stage(roots.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         ahead = edges.join(fresh.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         fresh = stage(ahead.join(done.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if fresh.isEmpty():
             break
+        if rounds is not None and depth > rounds:
+            raise ValueError(f"nodes are left after {rounds} rounds")
         done = done.unionByName(fresh)
+        if depth % 16 == 0:
+            done = stage(done, "closure")  # keeps the plan short
     return done
 
 

@@ -66,18 +66,18 @@ class Edge:
     links: DataFrame
 
 
-def cascade(direct: DataFrame, edges: list[Edge], rounds: int = 64) -> DataFrame:
+def cascade(direct: DataFrame, edges: list[Edge], rounds: int | None = None) -> DataFrame:
     """(table, key, kind, depth): direct orphans, and those that inherit it from an orphaned parent, to the fixpoint.
 
     Each round semi-joins the new orphans down the edges; a record is taken once, at its least depth. The graph of tables bounds the rounds
-    unless it has a cycle, where the rounds end when nothing is new.
+    unless it has a cycle, where the rounds end when nothing is new. A stated bound that leaves orphans is an error.
     """
     done = direct.select("table", "key").distinct().withColumn("kind", F.lit("direct")).withColumn("depth", F.lit(0))
     if not edges:
         return done
     fresh, depth, reach = done, 0, None
     tables = {t for t in (e.parent for e in edges)}
-    while depth < rounds:
+    while True:
         depth += 1
         found = None
         for e in edges:
@@ -95,7 +95,11 @@ def cascade(direct: DataFrame, edges: list[Edge], rounds: int = 64) -> DataFrame
         reach = {r["table"] for r in fresh.select("table").distinct().collect()}  # names of tables, not of records
         if not reach:
             break
+        if rounds is not None and depth > rounds:
+            raise ValueError(f"orphans are left after {rounds} rounds")
         done = done.unionByName(fresh)
+        if depth % 16 == 0:
+            done = stage(done, "orphans")  # keeps the plan short
         tables = reach
     return done
 

@@ -2,7 +2,9 @@ import json
 import random
 from datetime import datetime, timedelta
 
-from tessera.operators import orphans
+import pytest
+
+from tessera.operators import graph, orphans
 
 T0 = datetime(2024, 1, 15)
 DAY = timedelta(days=1)
@@ -73,3 +75,15 @@ def test_cascade_reaches_the_fixpoint(spark):
     edges = [orphans.Edge("b", "a", link([("7", "1"), ("8", "1"), ("9", "2")])), orphans.Edge("c", "b", link([("x", "8"), ("y", "9"), ("z", "7")])), orphans.Edge("a", "c", link([("5", "x"), ("1", "x")]))]
     got = sorted((r.table, r.key, r.kind, r.depth) for r in orphans.cascade(direct, edges).collect())
     assert got == [("a", "1", "direct", 0), ("a", "5", "inherited", 3), ("b", "7", "direct", 0), ("b", "8", "inherited", 1), ("c", "x", "inherited", 2), ("c", "z", "inherited", 1)]
+
+
+def test_no_orphan_or_node_is_left_silently(spark):
+    chain = spark.createDataFrame([("2", "1"), ("3", "2"), ("4", "3")], "child_key string, parent_key string")
+    direct = spark.createDataFrame([("a", "1")], "table string, key string")
+    with pytest.raises(ValueError):
+        orphans.cascade(direct, [orphans.Edge("a", "a", chain)], rounds=2)
+    assert orphans.cascade(direct, [orphans.Edge("a", "a", chain)], rounds=3).count() == 4
+    edges, roots = chain.selectExpr("parent_key as src", "child_key as dst"), spark.createDataFrame([("1",)], "node string")
+    with pytest.raises(ValueError):
+        graph.closure(edges, roots, rounds=2)
+    assert graph.closure(edges, roots).count() == 4
