@@ -14,41 +14,59 @@ from tessera.functions.digests import schema_fingerprint
 from tessera.operators.ingest import after_watermark, watermarks
 
 
-def _marks(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame | None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    log = spark.read.parquet(path)
-    top = log.groupBy(*keys).agg(F.max(F.struct(*[f"wm_{c}" for c in order])).alias("m"))
-    return top.select(*keys, *[F.col(f"m.wm_{c}").alias(f"wm_{c}") for c in order])
+def _batches(spark: SparkSession, marks: str) -> list[int]:
+    """Numbers of the batches whose state of the cursors is in the log, in order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(marks)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    names = [x.getPath().getName() for x in fs.listStatus(p) if fs.exists(done(x.getPath(), "_SUCCESS"))]
+    return sorted(int(n.removeprefix("batch_number=")) for n in names if n.startswith("batch_number="))
+
 
+def _marks(spark: SparkSession, marks: str, number: int) -> DataFrame | None:
+    """Cursors as they were before batch `number`: the state after the batch before it, never what a run of the batch itself left."""
+    before = [n for n in _batches(spark, marks) if n < number]
+    return spark.read.parquet(f"{marks}/batch_number={before[-1]}") if before else None
 
-def ingest(stream: DataFrame, out: str, marks: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Append rows beyond their shard's watermark to `out`; the watermark log moves only after the batch is written.
 
-    A batch that is run again finds its own directory written and replaces it, so nothing is appended twice. A changed schema stops the stream: its
-    fingerprint is part of the log.
+def ingest(stream: DataFrame, out: str, marks: str, checkpoint: str, keys: list[str], order: list[str], keep: int = 8) -> StreamingQuery:
+    """Append rows beyond their shard's watermark to `out`; the cursors move only after the batch is written.
+
+    Every batch writes its rows and then the state of all cursors after it, each to a folder of its own. A batch that is run again reads the state before it and
+    replaces both folders, so nothing is appended twice and nothing is lost, wherever the first run ended. Only the last `keep` states stay.
+    A stream whose schema isn't the one of the log is refused.
     """
+    if schema_changed(stream.sparkSession, stream, marks):
+        raise ValueError("the stream's schema isn't the one under which its log was written")
     seal = schema_fingerprint(stream.schema)
+    names = [f"wm_{c}" for c in order]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = _marks(spark, marks, keys, order)
-        fresh = after_watermark(batch, before, keys, order) if before is not None else batch
+        before = _marks(spark, marks, number)
+        fresh = after_watermark(batch, before.select(*keys, *names), keys, order) if before is not None else batch
         target = f"{out}/batch={number}"
         fresh.write.mode("overwrite").parquet(target)  # the sink first
-        new = watermarks(spark.read.schema(batch.schema).parquet(target), keys, order).withColumn("schema_seal", F.lit(seal)).withColumn("batch_number", F.lit(number))
-        new.write.mode("append").parquet(marks)  # then the cursor
+        new = watermarks(spark.read.schema(batch.schema).parquet(target), keys, order)
+        if before is not None:
+            top = before.select(*keys, *names).unionByName(new).groupBy(*keys).agg(F.max(F.struct(*names)).alias("m"))
+            new = top.select(*keys, *[F.col(f"m.{c}").alias(c) for c in names])
+        new.withColumn("schema_seal", F.lit(seal)).write.mode("overwrite").parquet(f"{marks}/batch_number={number}")  # then the cursors
+        for old in _batches(spark, marks)[:-keep]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/batch_number={old}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def schema_changed(spark: SparkSession, stream: DataFrame, marks: str) -> bool:
-    """Whether the log was written under another schema."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(marks)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    """Whether the log's last state was written under another schema."""
+    done = _batches(spark, marks)
+    if not done:
         return False
-    return spark.read.parquet(marks).where(F.col("schema_seal") != schema_fingerprint(stream.schema)).limit(1).count() > 0
+    return spark.read.parquet(f"{marks}/batch_number={done[-1]}").where(F.col("schema_seal") != schema_fingerprint(stream.schema)).limit(1).count() > 0
 
 
 def once(stream: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 hour") -> DataFrame:

@@ -1,5 +1,9 @@
+import os
+import shutil
 from datetime import datetime, timedelta
 
+import pytest
+
 from tessera.streaming import increments, windows
 
 SCHEMA = "shard string, sort_seq int, local_id int, body string"
@@ -22,6 +26,36 @@ def test_ingest_is_incremental_and_repeatable(spark, tmp_path):
     assert increments.schema_changed(spark, spark.createDataFrame([], SCHEMA + ", extra int"), marks)
 
 
+@pytest.mark.parametrize("lost", ["nothing", "marks", "half"])
+def test_a_batch_run_again_keeps_its_rows(spark, tmp_path, lost):
+    src, out, marks, ck = (f"{tmp_path}/{x}" for x in ("in", "out", "marks", "ck"))
+
+    def run():
+        increments.ingest(spark.readStream.schema(SCHEMA).json(src), out, marks, ck, ["shard"], ["sort_seq", "local_id"]).awaitTermination()
+        return sorted((r.shard, r.sort_seq) for r in spark.read.schema(SCHEMA + ", batch int").parquet(out).collect())
+
+    spark.createDataFrame([("a", 1, 1, "x")], SCHEMA).coalesce(1).write.mode("append").json(src)
+    run()
+    spark.createDataFrame([("a", 1, 1, "again"), ("a", 2, 1, "y"), ("b", 1, 1, "z")], SCHEMA).coalesce(1).write.mode("append").json(src)
+    want = run()
+    assert want == [("a", 1), ("a", 2), ("b", 1)]
+    for name in ("1", ".1.crc"):  # the stream died before it took the batch down as done
+        (tmp_path / "ck" / "commits" / name).unlink(missing_ok=True)
+    if lost == "marks":  # between the sink and the cursors
+        shutil.rmtree(f"{marks}/batch_number=1")
+    if lost == "half":  # while the cursors were written
+        os.remove(f"{marks}/batch_number=1/_SUCCESS")
+    assert run() == want and run() == want
+
+
+def test_another_schema_is_refused(spark, tmp_path):
+    src, out, marks, ck = (f"{tmp_path}/{x}" for x in ("in", "out", "marks", "ck"))
+    spark.createDataFrame([("a", 1, 1, "x")], SCHEMA).coalesce(1).write.json(src)
+    increments.ingest(spark.readStream.schema(SCHEMA).json(src), out, marks, ck, ["shard"], ["sort_seq", "local_id"]).awaitTermination()
+    with pytest.raises(ValueError, match="schema"):
+        increments.ingest(spark.readStream.schema(SCHEMA + ", extra int").json(src), out, marks, ck, ["shard"], ["sort_seq", "local_id"])
+
+
 def test_states(spark, tmp_path):
     src = f"{tmp_path}/in"
     schema = "unit string, seq int, event string"
