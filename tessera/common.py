@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -45,11 +46,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: spark.checkpoint.dir, or a folder of our own where it is unset (tests on one machine)."""
+    """Folder that every executor sees: spark.checkpoint.dir, or a folder of our own where it is unset and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {context.master}")
             own = tempfile.mkdtemp(prefix="tessera-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             context.setCheckpointDir("file://" + own)

@@ -31,7 +31,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 class SqliteSource(DataSource):
     """spark.read.format("sqlite").option("path", file).option("query", "select ...").option("key", column).option("partitions", n)
 
-    Reads a copy of a SQLite file that every executor sees. With a numeric key the query is cut into ranges, one per partition.
+    Reads a copy of a SQLite file that every executor sees. With a numeric key the query is cut into ranges, one per partition; rows with a null key come with the first.
     """
 
     @classmethod
@@ -50,8 +50,8 @@ class SqliteSource(DataSource):
 
 
 class _Range(InputPartition):
-    def __init__(self, low, high):
-        self.low, self.high = low, high
+    def __init__(self, low, high, nulls=False):
+        self.low, self.high, self.nulls = low, high, nulls
 
 
 class _SqliteReader(DataSourceReader):
@@ -69,12 +69,13 @@ class _SqliteReader(DataSourceReader):
         if low is None:
             return [_Range(None, None)]
         step = max(1, (high - low + n) // n)
-        return [_Range(low + i * step, low + (i + 1) * step) for i in range(n)]
+        return [_Range(low + i * step, low + (i + 1) * step, i == 0) for i in range(n)]
 
     def read(self, partition):
         where, args = "", ()
         if partition.low is not None:
-            where, args = f" where {self.options['key']} >= ? and {self.options['key']} < ?", (partition.low, partition.high)
+            key = self.options["key"]
+            where, args = f" where ({key} >= ? and {key} < ?)" + (f" or {key} is null" if partition.nulls else ""), (partition.low, partition.high)
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
             yield from db.execute(f"select {', '.join(self.names)} from ({self.options['query']}){where}", args)
 

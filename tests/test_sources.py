@@ -65,6 +65,16 @@ def test_sqlite(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 3 and df.count() == 90 and df.agg(F.sum("x")).first()[0] == sum(range(10, 100)) / 2
 
 
+def test_sqlite_keeps_null_keys(spark, tmp_path):
+    path = str(tmp_path / "n.db")
+    with sqlite3.connect(path) as db:
+        db.execute("create table m (id integer, name text)")
+        db.executemany("insert into m values (?, ?)", [(None if i % 3 == 0 else i, f"n{i}") for i in range(30)])
+    tables.register(spark)
+    df = spark.read.format("sqlite").option("path", path).option("query", "select id, name from m").option("key", "id").option("partitions", "4").load()
+    assert df.rdd.getNumPartitions() == 4 and sorted(r.name for r in df.collect()) == sorted(f"n{i}" for i in range(30))
+
+
 def test_catalog_and_shards(spark):
     m = spark.createDataFrame([(1, "a")], "local_id int, content string")
     state = tables.inspect({"message": m}, {"message": ["local_id", "server_id"], "contact": ["id"]}, {"favorite": ["x"]})
