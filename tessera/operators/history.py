@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.common import stage
+
 
 def insert_only(base: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(base and the new rows, rows refused because their key is there already or twice in new)."""
@@ -40,15 +42,31 @@ def at_version(log: DataFrame, key: str, version: int) -> DataFrame:
 def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     """(path, content) after ordered changes (ord, action, target, new_target, content): create and update set, delete removes, move carries the content along.
 
-    The last change of a target decides; a move's content is the target's content before it (its last set, else the file's).
+    The last change of a path decides. A move's content is what its target held before it: the last content set or moved there, else the file's. Chains of
+    moves are followed by pointer doubling, so a chain of n moves takes log n rounds; without chains there is one.
     """
-    sets = changes.where("action in ('create', 'update')").select(F.col("target").alias("path"), "ord", "content", F.lit("set").alias("op"), F.lit(None).cast("string").alias("origin"))
-    gone = changes.where("action in ('delete', 'move')").select(F.col("target").alias("path"), "ord", F.lit(None).cast("string").alias("content"), F.lit("drop").alias("op"), F.lit(None).cast("string").alias("origin"))
-    moves = changes.where("action = 'move'").select(F.col("new_target").alias("path"), "ord", F.lit(None).cast("string").alias("content"), F.lit("set").alias("op"), F.col("target").alias("origin"))
-    before = moves.alias("m").join(sets.select(F.col("path").alias("origin"), F.col("ord").alias("o"), F.col("content").alias("c")), "origin", "left").where("o is null or o < ord").groupBy("path", "ord", "op", "origin").agg(F.max_by("c", "o").alias("c"), F.max("o").alias("o"))
-    lone = moves.join(before.select("path", "ord"), ["path", "ord"], "left_anti").select("path", "ord", "op", "origin", F.lit(None).cast("string").alias("c"), F.lit(None).cast("int").alias("o"))
-    moved = before.unionByName(lone).join(files.select(F.col("path").alias("origin"), F.col("content").alias("f")), "origin", "left").select("path", "ord", F.when(F.col("o").isNotNull(), F.col("c")).otherwise(F.col("f")).alias("content"), "op", "origin")
-    last = sets.unionByName(gone).unionByName(moved).groupBy("path").agg(F.max_by(F.struct("op", "content"), "ord").alias("x"))
+    none = F.lit(None).cast("string")
+    sets = changes.where("action in ('create', 'update')").select(F.col("target").alias("path"), "ord", "content", none.alias("origin"))
+    moves = changes.where("action = 'move'").select(F.col("new_target").alias("path"), "ord", none.alias("content"), F.col("target").alias("origin"))
+    filled = sets.unionByName(moves)
+    # each move asks what was put on its origin last before it
+    held = F.struct("ord", "content", "origin")
+    asked = filled.select("path", "ord", held.alias("held"), none.alias("to")).unionByName(moves.select(F.col("origin").alias("path"), "ord", F.lit(None).alias("held"), F.col("path").alias("to")))
+    before = Window.partitionBy("path").orderBy("ord", F.col("to").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.withColumn("last", F.last("held", ignorenulls=True).over(before)).where("to is not null")
+    base = files.select("path", F.col("content").alias("_base"))
+    moved = asked.join(base, "path", "left").select(
+        F.col("to").alias("path"), "ord", F.when(F.col("last").isNull(), F.col("_base")).otherwise(F.col("last.content")).alias("content"),
+        F.when(F.col("last.origin").isNotNull(), F.struct(F.col("path"), F.col("last.ord").alias("ord"))).alias("from"),
+    )
+    moved = stage(moved, "moves")
+    while moved.where("from is not null").limit(1).count():
+        ahead = moved.select(F.struct("path", "ord").alias("from"), F.col("content").alias("_content"), F.col("from").alias("_from"))
+        step = moved.join(ahead, "from", "left")
+        moved = stage(step.select("path", "ord", F.when(F.col("from").isNull(), F.col("content")).otherwise(F.col("_content")).alias("content"), F.col("_from").alias("from")), "moves")
+    gone = changes.where("action in ('delete', 'move')").select(F.col("target").alias("path"), "ord", none.alias("content"), F.lit("drop").alias("op"))
+    put = sets.drop("origin").unionByName(moved.select("path", "ord", "content")).withColumn("op", F.lit("set"))
+    last = put.unionByName(gone).groupBy("path").agg(F.max_by(F.struct("op", "content"), F.struct("ord", "op")).alias("x"))
     joined = files.join(last, "path", "full_outer")
     return joined.where("x is null or x.op = 'set'").select("path", F.when(F.col("x").isNotNull(), F.col("x.content")).otherwise(F.col("content")).alias("content"))
 

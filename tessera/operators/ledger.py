@@ -82,12 +82,6 @@ def _own_hash(values: tuple[str, ...]) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values]), 256)
 
 
-def content_links(log: DataFrame, key: str, order: str, *values: str) -> DataFrame:
-    """log with previous_hash, the hash of the content of the event before, and event_hash over it and the event: covers two events, not the history (chain does)."""
-    linked = log.withColumn("_own", _own_hash(values)).withColumn("previous_hash", F.lag("_own").over(Window.partitionBy(key).orderBy(order)))
-    return linked.withColumn("event_hash", F.sha2(F.concat_ws("\u001f", F.coalesce("previous_hash", F.lit("")), "_own"), 256)).drop("_own")
-
-
 def _fold(batches):
     """Batches come sorted by key and order; the last two columns are the key and the content's hash."""
     key, last = object(), None
@@ -112,10 +106,14 @@ def chain(log: DataFrame, key: str, order: str, *values: str) -> DataFrame:
     return placed.mapInArrow(_fold, T.StructType([*log.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())]))
 
 
-def broken_links(log: DataFrame, key: str, order: str, value: str, previous: str) -> DataFrame:
-    """Events whose `previous` isn't the `value` of the event before them."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return log.withColumn("_before", before).where(~F.col(previous).eqNullSafe(F.col("_before"))).drop("_before")
+def broken_links(log: DataFrame, key: str, order: str, *values: str) -> DataFrame:
+    """Events of a chained log whose hash isn't the one of their content and previous_hash, or whose previous_hash isn't the event_hash of the event before them.
+
+    Where no event is broken, every hash covers the key's whole history. Each event is checked by itself, so nothing is folded.
+    """
+    sealed = F.sha2(F.concat_ws("\u001f", F.coalesce("previous_hash", F.lit("")), _own_hash(values)), 256)
+    before = F.lag("event_hash").over(Window.partitionBy(key).orderBy(order))
+    return log.withColumn("_before", before).where(~F.col("previous_hash").eqNullSafe(F.col("_before")) | ~F.col("event_hash").eqNullSafe(sealed)).drop("_before")
 
 
 def parents_in_line(links: DataFrame, key: str, order: str, node: str, parent: str, most: int = 256) -> DataFrame:

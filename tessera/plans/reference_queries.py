@@ -589,22 +589,19 @@ def events_after_terminal(spark, d):
     return ledger.after_terminal(table(spark, d, "events"), "user_id", "event_id", (F.col("event_type") == "purchase") & (F.col("value") > 60)).select("event_id", "user_id")
 
 
-@query("with o as (select *, sha256(event_id::varchar || chr(31) || coalesce(event_type, '')) as own from events), c as (select event_id, own, lag(own) over (partition by user_id order by event_id) as previous_hash from o) select event_id, previous_hash, sha256(coalesce(previous_hash, '') || chr(31) || own) as event_hash from c")
-def hash_chain(spark, d):
-    return ledger.content_links(table(spark, d, "events"), "user_id", "event_id", "event_id", "event_type").select("event_id", "previous_hash", "event_hash")
-
-
 @query("with recursive o as (select event_id, user_id, sha256(event_id::varchar || chr(31) || coalesce(event_type, '')) as own, row_number() over (partition by user_id order by event_id) as r from events), c as (select event_id, user_id, r, null::varchar as previous_hash, sha256(chr(31) || own) as event_hash from o where r = 1 union all select o.event_id, o.user_id, o.r, c.event_hash, sha256(c.event_hash || chr(31) || o.own) from c join o on o.user_id is not distinct from c.user_id and o.r = c.r + 1) select event_id, previous_hash, event_hash from c")
-def hash_chain_folded(spark, d):
+def hash_chain(spark, d):
     events = table(spark, d, "events").select("event_id", "user_id", "event_type")
     return ledger.chain(events, "user_id", "event_id", "event_id", "event_type").select("event_id", "previous_hash", "event_hash")
 
 
-@query("with o as (select event_id, user_id, sha256(event_type) as h from events), p as (select *, case when event_id % 97 = 0 then 'x' else lag(h) over (partition by user_id order by event_id) end as prev, lag(h) over (partition by user_id order by event_id) as b from o) select event_id from p where prev is distinct from b")
+@query("select event_id from events where event_id % 97 = 0 or event_id % 89 = 0")
 def broken_chain_links(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", F.sha2("event_type", 256).alias("h"))
-    e = e.withColumn("prev", F.when(F.col("event_id") % 97 == 0, "x").otherwise(F.lag("h").over(Window.partitionBy("user_id").orderBy("event_id"))))
-    return ledger.broken_links(e, "user_id", "event_id", "h", "prev").select("event_id")
+    """A sealed log in which some events were changed afterwards and some lead elsewhere."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    sealed = ledger.chain(events, "user_id", "event_id", "event_id", "event_type")
+    changed = sealed.withColumn("event_type", F.when(F.col("event_id") % 97 == 0, "changed").otherwise(F.col("event_type"))).withColumn("previous_hash", F.when(F.col("event_id") % 89 == 0, F.lit("elsewhere")).otherwise(F.col("previous_hash")))
+    return ledger.broken_links(changed, "user_id", "event_id", "event_id", "event_type").select("event_id")
 
 
 @query("with p as (select user_id, event_id, case when event_id % 50 = 0 then -1 else lag(event_id) over (partition by user_id order by event_id) end as parent, lag(event_id) over (partition by user_id order by event_id) as b, row_number() over (partition by user_id order by event_id) as r from events) select user_id, count(*) as n_links, count(*) filter (r > 1 and parent is distinct from b) as n_breaks, count(*) filter (r > 1 and parent is distinct from b) = 0 and count(*) <= 256 as valid from p group by 1")

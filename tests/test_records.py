@@ -80,8 +80,9 @@ def test_chain(spark):
     log = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("j", 1, "c")], "k string, n int, v string")
     linked = ledger.chain(log, "k", "n", "v")
     assert linked.where("previous_hash is null").count() == 2 and linked.select("event_hash").distinct().count() == 3
-    own = log.withColumn("h", F.sha2("v", 256)).withColumn("p", F.when(F.col("n") == 2, F.sha2(F.lit("wrong"), 256)))
-    assert ledger.broken_links(own, "k", "n", "h", "p").count() == 1
+    assert ledger.broken_links(linked, "k", "n", "v").count() == 0
+    assert ledger.broken_links(linked.withColumn("v", F.when(F.col("n") == 1, F.lit("z")).otherwise(F.col("v"))), "k", "n", "v").count() == 2
+    assert ledger.broken_links(linked.withColumn("previous_hash", F.when(F.col("n") == 2, "wrong").otherwise(F.col("previous_hash"))), "k", "n", "v").count() == 1
 
 
 def test_chain_covers_the_whole_history(spark):
@@ -90,7 +91,7 @@ def test_chain_covers_the_whole_history(spark):
     get = lambda rows: ledger.chain(spark.createDataFrame(rows, "k string, n int, v string"), "k", "n", "v")
     linked = get(rows)
     assert {(r.k, r.n): r.event_hash for r in linked.collect()} == brute(rows)
-    assert ledger.broken_links(linked, "k", "n", "event_hash", "previous_hash").count() == 0
+    assert ledger.broken_links(linked, "k", "n", "v").count() == 0
     changed = get([(k, n, "x" if (k, n) == ("a", 2) else v) for k, n, v in rows])
     was, now = ({(r.k, r.n): r.event_hash for r in df.collect()} for df in (linked, changed))
     assert {x for x in was if was[x] != now[x]} == {("a", n) for n in range(2, 6)}
@@ -173,3 +174,12 @@ def test_checks(spark):
     assert (f.supporting, f.contradicting, f.missing_family, f.validating) == (2, 0, True, False)
     s = spark.createDataFrame([("quoted", "observed"), ("observed", "quoted"), (None, "unknown")], "c string, w string").select(evaluate.downgraded(F.col("c"), F.col("w")))
     assert [r[0] for r in s.collect()] == ["quoted", "quoted", "unknown"]
+
+
+def test_moves_in_chains_carry_their_content(spark):
+    files = spark.createDataFrame([("a", "1"), ("p", "7"), ("q", "8"), ("z", "9")], "path string, content string")
+    moves = [(1, "move", "a", "b"), (2, "move", "b", "c"), (3, "move", "c", "d"), (4, "update", "x", None), (5, "move", "x", "y"), (6, "move", "y", "a"), (7, "move", "p", "t"), (8, "move", "q", "p"), (9, "move", "t", "q"), (10, "delete", "z", None)]
+    moves += [(20 + i, "move", f"w{i}", f"w{i + 1}") for i in range(40)]
+    changes = spark.createDataFrame([(o, a, t, n, "5" if a == "update" else None) for o, a, t, n in [*moves, (12, "update", "w0", None)]], "ord int, action string, target string, new_target string, content string")
+    got = {r.path: r.content for r in history.apply_changes(files, changes).collect()}
+    assert got == {"d": "1", "a": "5", "p": "8", "q": "7", "w40": "5"}
