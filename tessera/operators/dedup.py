@@ -15,6 +15,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.common import BROADCAST_BYTES, hash_pair, hot_buckets, salt, scratch, until_exit
 
@@ -53,7 +54,7 @@ def deletion_vectors(lost: DataFrame) -> DataFrame:
     return lost.groupBy("file", F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
 
 
-def _drop_marked(batches, root: str, columns: list[str]):
+def _choose(batches, root: str, columns: list[str], marked: bool):
     """Task side of the large path: reads only the vectors of the files in its own batches from the shared folder."""
     import numpy as np
     import pyarrow.compute as pc
@@ -63,7 +64,7 @@ def _drop_marked(batches, root: str, columns: list[str]):
     known: dict[int, dict[int, np.ndarray]] = {}
     for batch in batches:
         files = batch.column("_tessera_file")
-        keep = np.ones(batch.num_rows, dtype=bool)
+        gone = np.zeros(batch.num_rows, dtype=bool)
         positions = batch.column("_tessera_position").to_numpy(zero_copy_only=False)
         ids = files.to_numpy(zero_copy_only=False)
         for f in np.unique(ids):
@@ -75,12 +76,12 @@ def _drop_marked(batches, root: str, columns: list[str]):
             for b in np.unique(positions[own] // BITS):
                 if (bits := known[f].get(int(b) + 1)) is not None:
                     at = np.flatnonzero(own & (positions // BITS == b))
-                    keep[at] &= bits[positions[at] % BITS] == 0
-        yield batch.filter(pa.array(keep)).select(columns)
+                    gone[at] |= bits[positions[at] % BITS] == 1
+        yield batch.filter(pa.array(gone if marked else ~gone)).select(columns)
 
 
-def read_without(spark: SparkSession, path: str, vectors: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The wide table without the marked rows, never shuffled.
+def read_by_vectors(spark: SparkSession, path: str, vectors: DataFrame, marked: bool, columns: list[str] | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table at `path`, only its marked rows or only the others, with all columns or the named ones; never shuffled.
 
     Vectors of up to `limit` measured bytes are broadcast; beyond that each task reads the vectors of its own files from the shared folder.
     """
@@ -90,24 +91,35 @@ def read_without(spark: SparkSession, path: str, vectors: DataFrame, limit: int
     stored = spark.read.schema("file long, bucket long, bits binary, part int").parquet(root)
     size = stored.agg(F.sum(F.length("bits") + 24)).first()[0] or 0
     wide = spark.read.parquet(path)
-    columns = wide.columns
-    placed = wide.select("*", F.xxhash64("_metadata.file_path").alias("_tessera_file"), F.col("_metadata.row_index").alias("_tessera_position"))
+    columns = columns or wide.columns
+    wide = wide.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("_metadata.file_path").alias("_tessera_file"), F.col("_metadata.row_index").alias("_tessera_position"))
     if size > limit:
-        return placed.mapInArrow(partial(_drop_marked, root=root, columns=columns), wide.schema)
+        kept = T.StructType([f for f in wide.schema.fields if not f.name.startswith("_tessera")])
+        return wide.mapInArrow(partial(_choose, root=root, columns=columns, marked=marked), kept)
     place = F.col("_tessera_position") + 1
-    marked = F.broadcast(stored.select(F.col("file").alias("_tessera_file"), F.col("bucket").alias("_tessera_bucket"), F.col("bits").alias("_tessera_bits")))
+    bits = F.broadcast(stored.select(F.col("file").alias("_tessera_file"), F.col("bucket").alias("_tessera_bucket"), F.col("bits").alias("_tessera_bits")))
     offset = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.expr("substring(_tessera_bits, cast(bitmap_bit_position(_tessera_position + 1) div 8 as int) + 1, 1)")), 16, 10).cast("bigint")
-    joined = placed.withColumn("_tessera_bucket", F.bitmap_bucket_number(place)).join(marked, ["_tessera_file", "_tessera_bucket"], "left")
+    joined = wide.withColumn("_tessera_bucket", F.bitmap_bucket_number(place)).join(bits, ["_tessera_file", "_tessera_bucket"], "inner" if marked else "left")
     gone = F.col("_tessera_bits").isNotNull() & (F.getbit(byte, (offset % 8).cast("int")) == 1)
-    return joined.where(~gone).select(*[F.col(f"`{c}`") for c in columns])
+    return joined.where(gone if marked else ~gone).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def lost_messages(df: DataFrame, carry: dict[str, Column]) -> DataFrame:
     return losers(df, message_identity(*[F.col(c) for c in ("server_id", "conversation_id", "local_id", "create_time")]), F.col("row_no"), carry)
 
 
+def message_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Deletion vectors of the message table at `path`: every row of a message but the one with its lowest row_no, which is the delivery order."""
+    places = {"file": F.xxhash64("_metadata.file_path"), "position": F.col("_metadata.row_index")}
+    return deletion_vectors(lost_messages(spark.read.parquet(path), places))
+
+
 def exactly_once(spark: SparkSession, path: str) -> DataFrame:
     """The message table at `path` with one row of each message: the one with the lowest row_no."""
-    places = {"file": F.xxhash64("_metadata.file_path"), "position": F.col("_metadata.row_index")}
-    return read_without(spark, path, deletion_vectors(lost_messages(spark.read.parquet(path), places)))
+    return read_by_vectors(spark, path, message_vectors(spark, path), False)
+
+
+def surplus(spark: SparkSession, path: str) -> DataFrame:
+    """row_no of the rows that the deletion vectors leave out of exactly_once."""
+    return read_by_vectors(spark, path, message_vectors(spark, path), True, ["row_no"])

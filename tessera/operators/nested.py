@@ -252,18 +252,47 @@ def found(episodes: DataFrame, assets: DataFrame) -> DataFrame:
     return a.unionByName(b).where("value != ''").select("root_table", "root_key", "path", "pos", "subpos").distinct()
 
 
+#: Fields of the flat tables, by path below the parent.
+EVENT_FIELDS = ("subject", "disposition", "title", "summary", "importance", "asserted_event_time.value", "asserted_event_time.precision")
+CLAIM_FIELDS = ("asset_id", "layer", "statement", "confidence", "calibration.status")
+NUMBERS = {"importance"}
+
+
+def delivered(df: DataFrame, key: str, when: str, text: Column) -> DataFrame:
+    """(key, version, _json): one delivered row of each key, the first by `when`, then by the hash of its text; rows with a null key stay, each text by itself."""
+    rows = df.select(key, F.col(when).alias("_when"), text.alias("_json")).withColumn("version", F.xxhash64("_json"))
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("_when", "version")).alias("_first")).select(key, F.col("_first._when").alias("_when"), F.col("_first.version").alias("version"))
+    match = [rows[key] == first[key], rows["_when"].eqNullSafe(first["_when"]), rows["version"] == first["version"]]
+    kept = rows.join(first, match[0] & match[1] & match[2], "left_semi")
+    return kept.select(key, "version", "_json").unionByName(rows.where(F.col(key).isNull()).select(key, "version", "_json"))
+
+
 def flat_tables(episodes: DataFrame, assets: DataFrame) -> dict[str, DataFrame]:
-    """Related tables: events and evidence links below routes, claims below packages; every row names its parent's key and place."""
-    events = {f: f"[].{f}" for f in ("subject", "disposition", "title", "summary", "importance", "asserted_event_time.value", "asserted_event_time.precision")}
-    claims = {f: f"self_model[].{f}" for f in ("asset_id", "layer", "statement", "confidence", "calibration.status")}
+    """Related tables: events, evidence and place links below routes, claims, scenarios' and cases' evidence below packages; every row names its parent's key and place.
+
+    Of several delivered rows with one key the first decides, so a table's row never mixes two versions of its parent.
+    """
+    routes = delivered(episodes, "route_id", "routed_at", F.to_json("events"))
+    packages = delivered(assets, "package_id", "built_at", F.col("body"))
+
+    def below(rows: DataFrame, key: str, paths: dict[str, str]) -> DataFrame:
+        return extract(rows, F.col("_json"), {key: F.col(key), "version": F.col("version")}, paths)
+
+    def wide(rows: DataFrame, key: str, fields: tuple[str, ...], at: str) -> DataFrame:
+        found = below(rows, key, {f: f"{at}[].{f}" for f in fields})
+        pick = lambda f: F.min(F.when(F.col("path") == f, F.col("value")))  # noqa: E731  # copies of a row agree, so this is its one value
+        picks = [(pick(f).try_cast("double") if f in NUMBERS else pick(f)).alias(f.replace(".", "_")) for f in fields]
+        return found.groupBy(key, "version", "pos").agg(*picks).drop("version")
 
-    def wide(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-        picks = [F.min(F.when(F.col("path") == f, F.col("value"))).alias(f.replace(".", "_")) for f in fields]
-        return rows.groupBy(key, "pos").agg(*picks)
+    def links(rows: DataFrame, key: str, path: str, parent: str, name: str) -> DataFrame:
+        found = below(rows, key, {"x": path}).distinct()
+        return found.select(key, F.col("pos").alias(parent), F.col("subpos").alias("pos"), F.col("value").alias(name))
 
-    route, package = {"route_id": F.col("route_id")}, {"package_id": F.col("package_id")}
     return {
-        "events": wide(extract(episodes, F.to_json("events"), route, events), "route_id", events),
-        "evidence_links": extract(episodes, F.to_json("events"), route, EVENT_EVIDENCE).select("route_id", F.col("pos").alias("event_pos"), F.col("subpos").alias("pos"), F.col("value").alias("evidence_id")).distinct(),
-        "claims": wide(extract(assets, F.col("body"), package, claims), "package_id", claims),
+        "events": wide(routes, "route_id", EVENT_FIELDS, ""),
+        "evidence_links": links(routes, "route_id", "[].evidence_ids[]", "event_pos", "evidence_id"),
+        "place_links": links(routes, "route_id", "[].place_ids[]", "event_pos", "place_id"),
+        "claims": wide(packages, "package_id", CLAIM_FIELDS, "self_model"),
+        "scenario_evidence": links(packages, "package_id", "voice.scenarios[].evidence_ids[]", "scenario_pos", "evidence_id"),
+        "case_evidence": links(packages, "package_id", "evaluation_cases[].evidence_ids[]", "case_pos", "evidence_id"),
     }

@@ -10,6 +10,7 @@ target rows with a null key are none; a target row with a null loaded_at is neve
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def segments(target: DataFrame, key: str) -> DataFrame:
 
 def direct_orphans(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """refs (ref_table, ref_key, ref_field, target_table, target_key, at) with a reason for each reference that leads nowhere at its time."""
-    refs = refs.where("target_key is not null and at is not null")
+    refs = stage(refs.where("target_key is not null and at is not null"), "references")  # read for the histogram and for the join, parsed once
     cut = None
     for name, part in targets.items():
         one = part.withColumn("target_table", F.lit(name))
@@ -59,49 +60,58 @@ def direct_orphans(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Edge:
-    """Records of `child` refer to records of `parent`; links has (child_key, parent_key)."""
+    """Records of `child` refer by `field` to records of `parent`; links has (child_key, parent_key, period), the period of the child."""
 
     child: str
     parent: str
+    field: str
     links: DataFrame
 
 
 def cascade(direct: DataFrame, edges: list[Edge], rounds: int | None = None) -> DataFrame:
-    """(table, key, kind, depth): direct orphans, and those that inherit it from an orphaned parent, to the fixpoint.
+    """Orphaned references down the foreign-key graph to the fixpoint: (ref_table, ref_key, ref_field, target_key, reason, period, depth).
 
-    Each round semi-joins the new orphans down the edges; a record is taken once, at its least depth. The graph of tables bounds the rounds
-    unless it has a cycle, where the rounds end when nothing is new. A stated bound that leaves orphans is an error.
+    direct has these columns but the depth, which is 0. A record with an orphaned reference is an orphan, and each round semi-joins the links of child records with
+    the orphans that are new: their references to these are orphaned too, with the reason inherited. A record comes in once, at its least depth, with all links of that depth.
+    The rounds end when nothing is new; a stated bound that leaves orphans is an error.
     """
-    done = direct.select("table", "key").distinct().withColumn("kind", F.lit("direct")).withColumn("depth", F.lit(0))
+    names = ["ref_table", "ref_key", "ref_field", "target_key", "reason", "period"]
+    rows = [stage(direct.select(names).distinct().withColumn("depth", F.lit(0)), "orphans")]
     if not edges:
-        return done
-    fresh, depth, reach = done, 0, None
-    tables = {t for t in (e.parent for e in edges)}
+        return rows[0]
+    reached = lambda df: df.select(F.col("ref_table").alias("table"), F.col("ref_key").alias("key")).distinct()
+    hot: dict[int, list[int]] = {}  # of each edge's links, counted once
+    fresh = done = reached(rows[0])
+    tables, depth = {e.parent for e in edges}, 0
     while True:
         depth += 1
         found = None
-        for e in edges:
+        for i, e in enumerate(edges):
             if e.parent not in tables:
                 continue
+            if i not in hot:
+                hot[i] = hot_buckets(e.links, F.xxhash64("parent_key"))
             bad = fresh.where(F.col("table") == e.parent).select(F.col("key").alias("parent_key"))
-            hot = hot_buckets(e.links, F.xxhash64("parent_key"))
-            part = salted_join(e.links, bad, "parent_key", hot, "inner") if hot else e.links.join(bad, "parent_key", "left_semi")
-            part = part.select(F.lit(e.child).alias("table"), F.col("child_key").alias("key"))
+            part = salted_join(e.links, bad, "parent_key", hot[i], "inner") if hot[i] else e.links.join(bad, "parent_key", "left_semi")
+            part = part.select(F.lit(e.child).alias("ref_table"), F.col("child_key").alias("ref_key"), F.lit(e.field).alias("ref_field"), F.col("parent_key").alias("target_key"), F.lit("inherited").alias("reason"), "period", F.lit(depth).alias("depth"))
             found = part if found is None else found.unionByName(part)
         if found is None:
             break
-        new = found.distinct().join(done, ["table", "key"], "left_anti").withColumn("kind", F.lit("inherited")).withColumn("depth", F.lit(depth))
-        fresh = stage(new, "orphans")
-        reach = {r["table"] for r in fresh.select("table").distinct().collect()}  # names of tables, not of records
-        if not reach:
+        known = done.select(F.col("table").alias("ref_table"), F.col("key").alias("ref_key"))
+        new = stage(found.distinct().join(known, ["ref_table", "ref_key"], "left_anti"), "orphans")
+        tables = {r["ref_table"] for r in new.select("ref_table").distinct().collect()}  # names of tables, not of records
+        if not tables:
             break
         if rounds is not None and depth > rounds:
             raise ValueError(f"orphans are left after {rounds} rounds")
+        rows.append(new)
+        if not tables & {e.parent for e in edges}:
+            break  # no table refers to them
+        fresh = reached(new)
         done = done.unionByName(fresh)
         if depth % 16 == 0:
-            done = stage(done, "orphans")  # keeps the plan short
-        tables = reach
-    return done
+            done, rows = stage(done, "orphans"), [stage(reduce(DataFrame.unionByName, rows), "orphans")]  # keeps the plan short
+    return reduce(DataFrame.unionByName, rows)
 
 
 def asset_references(assets: DataFrame) -> DataFrame:
@@ -130,19 +140,23 @@ def vault_orphans(tables: dict[str, DataFrame]) -> DataFrame:
     return direct_orphans(vault_references(tables["chatroom_member"], tables["assets"], tables["routed_episodes"]), targets)
 
 
+def cascaded(tables: dict[str, DataFrame]) -> DataFrame:
+    """The vault's orphaned references, direct ones and those inherited by messages of an orphaned membership and by episodes of an orphaned route."""
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    direct = vault_orphans(tables).withColumn("period", month(F.col("at")))
+    rooms = tables["chat_room"].select(F.col("username").alias("conversation_id"), F.col("id").alias("room_id")).where("conversation_id is not null").distinct()
+    people = tables["contact"].select(F.col("username").alias("real_sender_id"), F.col("id").alias("member_id")).where("real_sender_id is not null").distinct()
+    sent = tables["message"].where("conversation_id is not null and real_sender_id is not null").select("row_no", "conversation_id", "real_sender_id", "create_time")
+    links = sent.join(rooms, "conversation_id").join(people, "real_sender_id").select(F.col("row_no").cast("string").alias("child_key"), member_key().alias("parent_key"), month(F.timestamp_seconds("create_time")).alias("period"))
+    episodes = tables["routed_episodes"].select(F.col("episode_id").alias("child_key"), F.col("route_id").alias("parent_key"), month(F.col("routed_at").cast("timestamp")).alias("period")).where("child_key is not null and parent_key is not null").distinct()
+    return cascade(direct, [Edge("message", "chatroom_member", "membership", links), Edge("episode", "routed_episodes", "route_id", episodes)])
+
+
 def found(tables: dict[str, DataFrame]) -> DataFrame:
-    """(ref_table, ref_key, ref_field, target_key, reason, period), distinct: the cascade's direct orphans."""
-    rows = vault_orphans(tables)
-    return rows.select("ref_table", "ref_key", "ref_field", "target_key", "reason", F.date_format("at", "yyyy-MM").alias("period")).distinct()
+    """(ref_table, ref_key, ref_field, target_key, reason, period), distinct: depth 0 of the cascade."""
+    return cascaded(tables).where("depth = 0").drop("depth")
 
 
 def orphan_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per table and depth: records orphaned directly, and those orphaned through them (messages of an orphaned membership, pages of orphaned routes)."""
-    direct = stage(vault_orphans(tables).select(F.col("ref_table").alias("table"), F.col("ref_key").alias("key")).distinct(), "direct")
-    rooms = tables["chat_room"].select(F.col("username").alias("conversation_id"), F.col("id").alias("room_id")).where("conversation_id is not null").distinct()
-    people = tables["contact"].select(F.col("username").alias("real_sender_id"), F.col("id").alias("member_id")).where("real_sender_id is not null").distinct()
-    sent = tables["message"].where("conversation_id is not null and real_sender_id is not null").select("row_no", "conversation_id", "real_sender_id")
-    links = sent.join(rooms, "conversation_id").join(people, "real_sender_id").select(F.col("row_no").cast("string").alias("child_key"), member_key().alias("parent_key"))
-    episodes = tables["routed_episodes"].select(F.col("episode_id").alias("child_key"), F.col("route_id").alias("parent_key")).where("child_key is not null and parent_key is not null").distinct()
-    out = cascade(direct, [Edge("message", "chatroom_member", links), Edge("episode", "routed_episodes", episodes)])
-    return out.groupBy("table", "kind", "depth").agg(F.count("*").alias("n_records"))
+    """Per table, field, reason, depth and period: orphaned references, and the records that hold them."""
+    return cascaded(tables).groupBy("ref_table", "ref_field", "reason", "depth", "period").agg(F.count("*").alias("n_references"), F.count_distinct("ref_key").alias("n_records"))

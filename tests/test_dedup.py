@@ -39,9 +39,10 @@ def test_vectors_apply_on_both_paths(spark, tmp_path):
     places = {"file": F.xxhash64("_metadata.file_path"), "position": F.col("_metadata.row_index")}
     vectors = dedup.deletion_vectors(dedup.lost_messages(whole, places))
     for limit in (1 << 25, 0):
-        kept = dedup.read_without(spark, path, vectors, limit=limit)
+        kept = dedup.read_by_vectors(spark, path, vectors, False, limit=limit)
         assert kept.columns == whole.columns
         assert sorted(r["row_no"] for r in kept.collect()) == list(range(700))
+        assert sorted(r["row_no"] for r in dedup.read_by_vectors(spark, path, vectors, True, ["row_no"], limit=limit).collect()) == list(range(700, 2000))
     assert dedup.exactly_once(spark, path).count() == 700
 
 

@@ -69,15 +69,27 @@ EVENT = "struct<subject:string,asserted_event_time:struct<value:string,precision
 
 def test_found(spark):
     e = lambda v, ids: ("s", None if v is None else (v, "day"), ids)
-    routes = spark.createDataFrame([("r", [None, e("2024", ["a", None, ""]), e("", None)], 1), ("r", [None, e("2024", ["a", None, ""]), e("", None)], 2), ("q", None, 3), ("p", [], 4)], f"route_id string, events array<{EVENT}>, pos int")
-    packages = spark.createDataFrame([("k", '{"self_model": {"calibration": {"status": "draft"}}}', "x"), ("k2", '{"self_model": [{"calibration": null}, {"calibration": {"status": ""}}, {"calibration": {"status": "ready"}}]}', "x"), ("k3", '{"self_model": [', "x"), (None, None, None)], "package_id string, body string, path string")
+    routes = spark.createDataFrame([("r", [None, e("2024", ["a", None, ""]), e("", None)], 1), ("r", [None, e("2024", ["a", None, ""]), e("", None)], 2), ("q", None, 3), ("p", [], 4)], f"route_id string, events array<{EVENT}>, pos int").selectExpr("*", "timestamp_seconds(pos) as routed_at")
+    packages = spark.createDataFrame([("k", '{"self_model": {"calibration": {"status": "draft"}}}', "x"), ("k2", '{"self_model": [{"calibration": null}, {"calibration": {"status": ""}}, {"calibration": {"status": "ready"}}]}', "x"), ("k3", '{"self_model": [', "x"), (None, None, None)], "package_id string, body string, path string").selectExpr("*", "cast(null as timestamp) as built_at")
     assert sorted(tuple(r) for r in nested.found(routes, packages).collect()) == [
         ("assets", "k", "self_model.calibration.status", 0, -1), ("assets", "k2", "self_model.calibration.status", 2, -1),
         ("routed_episodes", "r", "events.asserted_event_time.value", 1, -1), ("routed_episodes", "r", "events.evidence_ids", 1, 0),
     ]
     assert nested.found(routes.where("false"), packages.where("false")).count() == 0
     flat = nested.flat_tables(routes, packages)
-    assert {n: f.count() for n, f in flat.items()} == {"events": 2, "evidence_links": 2, "claims": 3}
+    assert {n: f.count() for n, f in flat.items()} == {"events": 2, "evidence_links": 2, "place_links": 0, "claims": 3, "scenario_evidence": 0, "case_evidence": 0}
+
+
+def test_flat_rows_never_mix_versions(spark):
+    kinds = "subject string, title string, importance double, asserted_event_time struct<value:string,precision:string>, evidence_ids array<string>, place_ids array<string>"
+    rows = [("r", 2, [("a", "b", None, None, ["e1"], None)]), ("r", 1, [(None, None, 0.5, ("2024", "year"), ["e2"], ["p", "p"])]), ("r", 1, [(None, None, 0.5, ("2024", "year"), ["e2"], ["p", "p"])]), (None, 1, [("x", None, None, None, None, None)]), (None, 1, [("y", None, 1.0, None, None, None)])]
+    routes = spark.createDataFrame(rows, f"route_id string, at int, events array<struct<{kinds}>>").selectExpr("*", "timestamp_seconds(at) as routed_at")
+    packages = spark.createDataFrame([], "package_id string, body string, built_at timestamp")
+    flat = nested.flat_tables(routes, packages)
+    got = sorted((r.route_id or "", r.pos, r.subject or "", r.title or "", r.importance or 0.0, r.asserted_event_time_value or "") for r in flat["events"].collect())
+    assert got == [("", 0, "x", "", 0.0, ""), ("", 0, "y", "", 1.0, ""), ("r", 0, "", "", 0.5, "2024")]
+    assert [tuple(r) for r in flat["evidence_links"].collect()] == [("r", 0, 0, "e2")]
+    assert sorted(tuple(r) for r in flat["place_links"].collect()) == [("r", 0, 0, "p"), ("r", 0, 1, "p")]
 
 
 def test_very_long_text(spark):

@@ -40,7 +40,7 @@ def tables(spark, members=(), assets=(), episodes=(), room=(), contact=(), evide
         "evidence": make(list(evidence), f"evidence_id string, summary string, {life}"), "places": make(list(place), f"place_id string, canonical string, {life}"),
         "chatroom_member": make(list(members), "room_id int, member_id int, joined_at timestamp, target_key string"), "assets": make(list(assets), "package_id string, built_at timestamp, body string, at string"),
         "routed_episodes": make(list(episodes), "route_id string, episode_id string, routed_at timestamp, events array<struct<place_ids:array<string>>>"),
-        "message": make(list(message), "row_no long, conversation_id string, real_sender_id string"),
+        "message": make(list(message), "row_no long, conversation_id string, real_sender_id string, create_time int"),
     }
 
 
@@ -69,20 +69,30 @@ def test_hot_key(spark):
     assert {r["reason"]: r["count"] for r in got} == {"late": 3000, "missing": 500}
 
 
+DIRECT = "ref_table string, ref_key string, ref_field string, target_key string, reason string, period string"
+
+
 def test_cascade_reaches_the_fixpoint(spark):
-    link = lambda rows: spark.createDataFrame(rows, "child_key string, parent_key string")
-    direct = spark.createDataFrame([("a", "1"), ("b", "7")], "table string, key string")
-    edges = [orphans.Edge("b", "a", link([("7", "1"), ("8", "1"), ("9", "2")])), orphans.Edge("c", "b", link([("x", "8"), ("y", "9"), ("z", "7")])), orphans.Edge("a", "c", link([("5", "x"), ("1", "x")]))]
-    got = sorted((r.table, r.key, r.kind, r.depth) for r in orphans.cascade(direct, edges).collect())
-    assert got == [("a", "1", "direct", 0), ("a", "5", "inherited", 3), ("b", "7", "direct", 0), ("b", "8", "inherited", 1), ("c", "x", "inherited", 2), ("c", "z", "inherited", 1)]
+    link = lambda rows: spark.createDataFrame([(*r, "2024-02") for r in rows], "child_key string, parent_key string, period string")
+    direct = spark.createDataFrame([("a", "1", "f", "t", "late", "2024-01"), ("b", "7", "f", "t", "missing", "2024-01"), ("b", "7", "f", "t", "missing", "2024-01")], DIRECT)
+    edges = [orphans.Edge("b", "a", "g", link([("7", "1"), ("8", "1"), ("8", "1"), ("9", "2")])), orphans.Edge("c", "b", "g", link([("x", "8"), ("y", "9"), ("z", "7"), (None, "7")])), orphans.Edge("a", "c", "g", link([("5", "x"), ("1", "x"), ("6", None)]))]
+    got = sorted((r.ref_table, r.ref_key or "", r.target_key, r.reason, r.period, r.depth) for r in orphans.cascade(direct, edges).collect())
+    inherited = [("a", "5", "x", 3), ("b", "8", "1", 1), ("c", "x", "8", 2), ("c", "z", "7", 1), ("c", "", "7", 1)]
+    assert got == sorted([("a", "1", "t", "late", "2024-01", 0), ("b", "7", "t", "missing", "2024-01", 0), *((t, k, p, "inherited", "2024-02", d) for t, k, p, d in inherited)])
+
+
+def test_report_by_period(spark):
+    t = tables(spark, members=[(1, 2, T0, "c")], room=[(1, "room", T0 - DAY, None)], contact=[(2, "u", "n", T0 + DAY, None)], message=[(5, "room", "u", 1_710_000_000), (6, "room", "u", 1_710_000_001), (7, "room", "v", 1_710_000_001), (8, "room", "u", None), (9, None, None, None)])
+    got = sorted((r.ref_table, r.ref_field, r.reason, r.depth, r.period or "", r.n_references, r.n_records) for r in orphans.orphan_report(t).collect())
+    assert got == [("chatroom_member", "member_id", "late", 0, "2024-01", 1, 1), ("message", "membership", "inherited", 1, "", 1, 1), ("message", "membership", "inherited", 1, "2024-03", 2, 2)]
 
 
 def test_no_orphan_or_node_is_left_silently(spark):
-    chain = spark.createDataFrame([("2", "1"), ("3", "2"), ("4", "3")], "child_key string, parent_key string")
-    direct = spark.createDataFrame([("a", "1")], "table string, key string")
+    chain = spark.createDataFrame([("2", "1", "p"), ("3", "2", "p"), ("4", "3", "p")], "child_key string, parent_key string, period string")
+    direct = spark.createDataFrame([("a", "1", "f", "t", "late", "p")], DIRECT)
     with pytest.raises(ValueError):
-        orphans.cascade(direct, [orphans.Edge("a", "a", chain)], rounds=2)
-    assert orphans.cascade(direct, [orphans.Edge("a", "a", chain)], rounds=3).count() == 4
+        orphans.cascade(direct, [orphans.Edge("a", "a", "g", chain)], rounds=2)
+    assert orphans.cascade(direct, [orphans.Edge("a", "a", "g", chain)], rounds=3).count() == 4
     edges, roots = chain.selectExpr("parent_key as src", "child_key as dst"), spark.createDataFrame([("1",)], "node string")
     with pytest.raises(ValueError):
         graph.closure(edges, roots, rounds=2)
