@@ -9,7 +9,7 @@ from tessera.llm import conversations, mixing, pii, spans, tokens
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.rebuild(table(spark, d, "synthetic_rows"))[1]
+    return conversations.dropped(table(spark, d, "synthetic_rows"))
 
 
 def p3_turns(spark: SparkSession, d: str) -> DataFrame:
