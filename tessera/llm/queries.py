@@ -32,12 +32,33 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def _mixed(spark: SparkSession, d: str, **how) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), **how)
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return _mixed(spark, d)[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return _mixed(spark, d)[1]
+
+
+#: Share of the greatest entropy of the sources' weights in p8_even_shares.
+EVENNESS = 0.9
+
+
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """A mix as large as the sources with a target: caps bind, so weights lie between the targets and the sources as they are."""
+    return _mixed(spark, d, budget=mixing.CORPUS)[0]
+
+
+def p8_tempered_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, budget=mixing.CORPUS)[1]
+
+
+def p8_even_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, evenness=EVENNESS)[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +69,7 @@ def p9_portions(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_portions(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_turns, p3_conversations, p5_found, p5_redacted, p7_ids, p8_mix, p8_shares, p9_found, p9_portions)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_turns, p3_conversations, p5_found, p5_redacted, p7_ids, p8_mix, p8_shares, p8_tempered, p8_tempered_shares, p8_even_shares, p9_found, p9_portions)}
 
 _BLANK = r"[\s\p{Z}\p{Cc}\p{Cf}\x{115F}\x{1160}\x{2800}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}]"
 

@@ -86,3 +86,29 @@ def test_mix(spark, encode):
     assert sorted(map(str, taken.collect())) == sorted(map(str, again.collect()))
     none, empty = mixing.mix(d.where("false"), t)
     assert none.count() == 0 and empty.where("actual_share <> 0").count() == 0
+
+
+def test_caps_bind_and_the_exponent_is_bisected(spark):
+    r = random.Random(7)
+    docs = [(i, " ".join(["word"] * r.randint(1, 200)), "big") for i in range(1500)] + [(2000 + i, " ".join(["word"] * r.randint(1, 60)), "small") for i in range(200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_share double, max_repeats int")
+    rep = {x.source: x for x in mixing.mix(d, t, budget=mixing.CORPUS)[1].collect()}
+    sizes = {x.source: x.n for x in d.selectExpr("source", "size(split(text, ' ')) as n").groupBy("source").sum("n").toDF("source", "n").collect()}
+    natural = sizes["small"] / sum(sizes.values())
+    assert 0 < rep["small"].exponent < 1 and natural < rep["small"].weight < 0.5
+    assert rep["small"].most_repeats == 3 and rep["big"].most_repeats == 1 and all(abs(x.actual_share - x.weight) < 0.02 for x in rep.values())
+    assert abs(rep["small"].weight * sum(sizes.values()) - 3 * sizes["small"]) < 0.02 * sizes["small"]
+    even = {x.source: x for x in mixing.mix(d, t, evenness=0.9)[1].collect()}
+    w = [x.weight for x in even.values()]
+    assert abs(mixing.entropy(w) - 0.9 * mixing.entropy([0.5, 0.5])) < 1e-6 and even["big"].weight > even["small"].weight
+
+
+def test_more_blocks_change_no_share(spark, monkeypatch):
+    docs = [(i, "word " * (1 + i % 50), "ab"[i % 3 == 0]) for i in range(3000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("a", 0.2, 2), ("b", 0.8, 2)], "source string, target_share double, max_repeats int")
+    for block_docs, limit in ((65_536, 32 << 20), (2, 0)):
+        monkeypatch.setattr(mixing, "BLOCK_DOCS", block_docs)
+        monkeypatch.setattr(mixing, "BROADCAST_BYTES", limit)
+        assert all(abs(x.actual_share - x.target_share) < 0.01 for x in mixing.mix(d, t)[1].collect())
