@@ -123,11 +123,12 @@ def salt(key_hash: Column, row: Column, hot: list[int], salts: int = SALTS) -> C
     return F.when(F.pmod(key_hash, F.lit(HISTOGRAM_BUCKETS)).isin(hot), F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")).otherwise(F.lit(0))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list[int], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Equi-join on `key`; rows of hot keys on the left are spread over salts, the right rows of those keys repeated for each salt."""
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list[int], how: str = "left", also: list[str] | None = None, salts: int = SALTS) -> DataFrame:
+    """Equi-join on `key` (and `also`); rows of hot keys on the left are spread over salts, the right rows of those keys repeated for each salt."""
+    keys = [key, *(also or [])]
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right, keys, how)
     is_hot = F.pmod(F.xxhash64(F.col(key)), F.lit(HISTOGRAM_BUCKETS)).isin(hot)
     spread = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     copies = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
