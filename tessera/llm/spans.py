@@ -3,7 +3,8 @@
 Every text is cut into non-overlapping reference blocks; any common run of `min_chars` holds a whole block of either text. The blocks'
 hashes become a filter of raw bit files in the shared folder, one per group of hashes; tasks map these files into memory, so that a machine holds one
 copy, in its page cache, and neither the driver nor a worker holds the filter. Every rolling window of every text probes the filter; only hits and blocks become rows. Rows that meet on a hash are candidate pairs of
-distinct texts (equal texts are one), one row per pair and diagonal, and are extended character by character to the maximal exact repeat.
+distinct texts (equal texts are one), one row per pair and diagonal, and are extended character by character to the maximal exact repeat. Portions need no pairs
+where many texts meet: there the shared windows themselves are counted.
 
 Scale: the text is read twice and never shuffled as a whole; shuffles carry one narrow row per block and hit, and the text around candidates.
 Periodic texts: of overlapping equal windows all near either end of their chain are kept and one per block length between, which loses no span
@@ -19,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.common import BROADCAST_BYTES, hash_pair, hot_buckets, make_folder, salted_join, scratch, stage, unstage
@@ -33,6 +34,8 @@ GROUP_BITS = (1 << 26, 1 << 31)
 GROUPS = 16
 BITS_PER_BLOCK = 16
 GROUP_MOST = 64
+#: Anchors of one group in one task of the join of pairs.
+GROUP_ROWS = 1024
 AROUND = 4
 _CACHE: dict = {}
 
@@ -241,25 +244,53 @@ def _probe(batches, size: int, shape: tuple[int, int], root: str, around: int, s
 
 
 def _full_windows(batches, step: int, min_chars: int):
-    """For each row (text, pos, k, h): hashes of the windows of min_chars characters around pos that hold its window k."""
+    """For each hit (pos, k, h) of a text: hashes of the windows of min_chars characters around pos that hold its window k. A text comes once, with all its hits."""
     for batch in batches:
-        codes_of: dict[tuple, np.ndarray] = {}
-        rows, keys = [], []
-        for i, (a, b, text, pos, k, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "pos", "k", "h")))):
-            if (a, b) not in codes_of:
-                codes_of = {(a, b): np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)}
-            codes = codes_of[a, b]
-            lead = np.arange(k * step, (k + 1) * step + 1)
-            lead = lead[(pos - lead >= 0) & (pos - lead + min_chars <= len(codes))]
-            if not len(lead):
-                continue
-            low = pos - int(lead[-1])
-            full = window_hashes(codes[low : pos - int(lead[0]) + min_chars], min_chars)[::-1]
-            rows += [i] * len(lead)
-            keys.append(_mix(full + np.uint64(h & 0xFFFFFFFFFFFFFFFF) + lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        at = pa.array(rows, pa.int64())
-        found = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found), *(batch.column(c).take(at) for c in ("t1", "t2", "pos"))], names=["g", "t1", "t2", "pos"])
+        for a, b, text, hits in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "hits"))):
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            at, keys, size = [], [], 0
+            for x in hits:
+                pos, k, h = x["pos"], x["k"], x["h"]
+                lead = np.arange(k * step, (k + 1) * step + 1)
+                lead = lead[(pos - lead >= 0) & (pos - lead + min_chars <= len(codes))]
+                if not len(lead):
+                    continue
+                low = pos - int(lead[-1])
+                full = window_hashes(codes[low : pos - int(lead[0]) + min_chars], min_chars)[::-1]
+                at.append(np.full(len(lead), pos, dtype=np.int32))
+                keys.append(_mix(full + np.uint64(h & 0xFFFFFFFFFFFFFFFF) + lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                size += len(lead)
+                if size > 1 << 18:
+                    yield _hashed(keys, a, b, at)
+                    at, keys, size = [], [], 0
+            if size:
+                yield _hashed(keys, a, b, at)
+
+
+def _hashed(keys: list[np.ndarray], a: int, b: int, at: list[np.ndarray]) -> pa.RecordBatch:
+    g, pos = np.concatenate(keys).view(np.int64), np.concatenate(at)
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), a)), pa.array(np.full(len(g), b)), pa.array(pos)], names=["g", "t1", "t2", "pos"])
+
+
+def _covering_windows(batches, step: int, min_chars: int):
+    """Each window of min_chars characters that holds a hit of its text, once: two hashes, and where it begins."""
+    for batch in batches:
+        for a, b, text, hits in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "hits"))):
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            last = len(codes) - min_chars
+            wanted = np.zeros(last + 2, dtype=np.int32)
+            for x in hits:
+                low, high = max(0, x["pos"] - (x["k"] + 1) * step), min(last, x["pos"] - x["k"] * step)
+                if low <= high:
+                    wanted[low] += 1
+                    wanted[high + 1] -= 1
+            starts = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
+            for lo in range(0, len(starts), 1 << 18):
+                part = starts[lo : lo + (1 << 18)]
+                own = codes[part[0] : part[-1] + min_chars]
+                pick = part - part[0]
+                one, two = window_hashes(own, min_chars)[pick], window_hashes(own ^ np.uint32(0x5BD1E995), min_chars)[pick]
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(part), a)), pa.array(np.full(len(part), b)), pa.array(part.astype(np.int32))], names=["g", "g2", "t1", "t2", "pos"])
 
 
 def _grow(batches, size: int, min_chars: int):
@@ -299,12 +330,11 @@ def _of_texts(bare: DataFrame, who: DataFrame) -> DataFrame:
     return stage(bare.join(F.broadcast(who) if small else who, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]), "texts")
 
 
-def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Maximal exact repeats between distinct texts: (a1, a2, b1, b2, a_start, b_start, n_chars), texts by their 128-bit hashes, a below b."""
+def _candidates(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(few, many, staged): hits of texts that agree on an anchor and around it, in groups of up to GROUP_MOST rows and in larger ones."""
     spark = docs.sparkSession
     size = min_chars // 2
-    texts = _texts(docs, min_chars)
-    bare = texts.select("t1", "t2", "text")
+    bare = _texts(docs, min_chars).select("t1", "t2", "text")
     # 1. the filter over all reference blocks, its size from their exact number
     blocks = docs.where("doc_id is not null and text is not null").agg(F.sum(F.floor(F.length("text") / size))).first()[0] or 0
     shape = filter_shape(blocks)
@@ -318,32 +348,43 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     hits = bare.mapInArrow(partial(_probe, size=size, shape=shape, root=root, around=min_chars - step, step=step), f"h long, t1 long, t2 long, pos int, {around}")
     hits = stage(hits, "hits")
     # 3. hashes that an anchor of one text and a window of another share, and agreement around them
-    anchor = F.col("pos") % size == 0
-    several = [F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.bool_or(anchor).alias("anchored"), F.count("*").alias("n")]
+    several = _several(size)
     met = hits.groupBy("h").agg(*several).where("lo != hi and anchored").select("h")
     live = hits.join(met, "h", "left_semi").select("h", "t1", "t2", "pos", F.posexplode(F.array(*[f"c{k}" for k in range(AROUND)])).alias("k", "c")).where("c != 0")
     live = stage(live.select(F.xxhash64("h", "k", "c").alias("g"), "h", "k", "t1", "t2", "pos").distinct(), "live")
-    agreeing = live.groupBy("g").agg(*several).where("lo != hi and anchored").select("g", (F.col("n") > GROUP_MOST).alias("big"))
+    agreeing = live.groupBy("g").agg(*several).where("lo != hi and anchored").select("g", "n")
     hot = hot_buckets(live, F.xxhash64("g"))
     members = stage(salted_join(live, agreeing, "g", hot, "inner"), "members")
-    few = members.where("not big").select("g", "t1", "t2", "pos")
-    many = members.where("big")
-    done = [hits, live, members]
-    if many.limit(1).count():
-        wanted = _of_texts(bare, many.select("t1", "t2"))
-        whole = many.select("t1", "t2", "pos", "k", "h").join(wanted, ["t1", "t2"]).mapInArrow(partial(_full_windows, step=step, min_chars=min_chars), "g long, t1 long, t2 long, pos int")
-        whole = stage(whole, "windows")
-        done += [whole, wanted]
-        same = whole.groupBy("g").agg(*several).where("lo != hi and anchored").select("g")
-        few = few.unionByName(whole.join(same, "g", "left_semi"))
-    a = few.where(anchor).select("g", F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("pos").alias("a_pos"))
-    b = few.select("g", F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("pos").alias("b_pos"))
-    pairs = a.join(b, "g").where("a1 < b1 or (a1 = b1 and a2 < b2)").drop("g")
+    return members.where(F.col("n") <= GROUP_MOST).select("g", "t1", "t2", "pos", "n"), members.where(F.col("n") > GROUP_MOST), [hits, live, members]
+
+
+def _several(size: int) -> list:
+    return [F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.bool_or(F.col("pos") % size == 0).alias("anchored"), F.count("*").alias("n")]
+
+
+def _hits_by_text(bare: DataFrame, many: DataFrame) -> DataFrame:
+    """(t1, t2, text, hits): a text of the large groups once, with all its hits, which are as many as its length allows."""
+    by_text = many.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "k", "h")).alias("hits"))
+    return by_text.join(_of_texts(bare, many.select("t1", "t2")), ["t1", "t2"])
+
+
+def _salted_pairs(few: DataFrame, size: int) -> DataFrame:
+    """Anchors (a) against rows (b) of their group, texts a below b. A group of n rows goes to n / GROUP_ROWS tasks, so none has more than GROUP_ROWS of its anchors."""
+    parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
+    a = few.where(F.col("pos") % size == 0).select("g", F.pmod(F.xxhash64("t1", "t2", "pos"), parts).cast("int").alias("part"), F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("pos").alias("a_pos"))
+    b = few.select("g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("pos").alias("b_pos"))
+    return a.join(b, ["g", "part"]).where("a1 < b1 or (a1 = b1 and a2 < b2)").drop("g", "part")
+
+
+def _spans(bare: DataFrame, few: DataFrame, min_chars: int, done: list[DataFrame]) -> DataFrame:
+    """Maximal exact repeats of the pairs of texts that meet in few (g, t1, t2, pos, n)."""
+    size = min_chars // 2
     # 4. one row for each pair and diagonal: its blocks, in unbroken runs (a diagonal has at most as many blocks as the text)
+    pairs = _salted_pairs(few, size)
     lines = pairs.groupBy("a1", "a2", "b1", "b2", (F.col("b_pos") - F.col("a_pos")).alias("shift")).agg(F.sort_array(F.collect_set("a_pos")).alias("at"))
-    at = F.col("at")
-    starts = F.filter(at, lambda x: ~F.array_contains(at, x - size))
-    ends = F.filter(at, lambda x: ~F.array_contains(at, x + size))
+    beside_of = lambda i, by: F.coalesce(F.get("at", i), F.lit(-1)) + by  # noqa: E731  # the block's neighbour in the sorted list
+    starts = F.filter("at", lambda x, i: beside_of(i - 1, size) != x)
+    ends = F.filter("at", lambda x, i: beside_of(i + 1, -size) != x)
     runs = lines.select("a1", "a2", "b1", "b2", "shift", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r"))
     runs = runs.select("a1", "a2", "b1", "b2", F.col("r.s").alias("a_at"), (F.col("r.s") + F.col("shift")).alias("b_at"), (F.col("r.e") - F.col("r.s") + size).alias("n"))
     runs = stage(runs, "runs")
@@ -355,10 +396,23 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         named = used.select(F.col("t1").alias(f"{side}1"), F.col("t2").alias(f"{side}2"), "text")
         lead = F.least(F.col(f"{side}_at"), F.lit(size))
         cut = F.substring(F.col("text"), F.col(f"{side}_at") - lead + 1, lead + F.col("n") + size)
-        return rows.join(named, [f"{side}1", f"{side}2"]).withColumn(f"{side}_lead", lead).withColumn(f"{side}_text", cut).drop("text")
+        hot = hot_buckets(runs, F.xxhash64(f"{side}1"))
+        return salted_join(rows, named, f"{side}1", hot, "inner", [f"{side}2"]).withColumn(f"{side}_lead", lead).withColumn(f"{side}_text", cut).drop("text")
+
+    return beside("b", beside("a", runs)).mapInArrow(partial(_grow, size=size, min_chars=min_chars), "a1 long, a2 long, b1 long, b2 long, a_start long, b_start long, n_chars long")
 
-    grown = beside("b", beside("a", runs)).mapInArrow(partial(_grow, size=size, min_chars=min_chars), "a1 long, a2 long, b1 long, b2 long, a_start long, b_start long, n_chars long")
-    return grown
+
+def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Maximal exact repeats between distinct texts: (a1, a2, b1, b2, a_start, b_start, n_chars), texts by their 128-bit hashes, a below b."""
+    size = min_chars // 2
+    bare = _texts(docs, min_chars).select("t1", "t2", "text")
+    few, many, done = _candidates(docs, min_chars)
+    if many.limit(1).count():
+        whole = stage(_hits_by_text(bare, many).mapInArrow(partial(_full_windows, step=-(-size // AROUND), min_chars=min_chars), "g long, t1 long, t2 long, pos int").distinct(), "windows")
+        done.append(whole)
+        same = whole.groupBy("g").agg(*_several(size)).where("lo != hi and anchored").select("g", "n")
+        few = few.unionByName(salted_join(whole, same, "g", hot_buckets(whole, F.xxhash64("g")), "inner").select(few.columns))
+    return _spans(bare, few, min_chars, done)
 
 
 def shared_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -375,20 +429,32 @@ def shared_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def shared_portions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_chars, shared_chars, n_partners, share): how much of each document lies in spans that another document has too."""
-    from pyspark.sql import Window
-
-    spans = stage(shared_spans(docs, min_chars), "spans")
-    mine = spans.select(F.col("a1").alias("t1"), F.col("a2").alias("t2"), F.col("a_start").alias("lo"), (F.col("a_start") + F.col("n_chars")).alias("hi"), F.struct("b1", "b2").alias("other"))
-    theirs = spans.select(F.col("b1").alias("t1"), F.col("b2").alias("t2"), F.col("b_start").alias("lo"), (F.col("b_start") + F.col("n_chars")).alias("hi"), F.struct(F.col("a1").alias("b1"), F.col("a2").alias("b2")).alias("other"))
-    both = mine.unionByName(theirs)
-    order = Window.partitionBy("t1", "t2").orderBy("lo", "hi")
+    """(doc_id, n_chars, shared_chars, n_copies, share): how much of each document lies in spans of min_chars or more that another document has too.
+
+    Pairs are made within groups of up to GROUP_MOST rows only. In larger groups, as a passage of very many texts forms, every window of min_chars around a hit becomes
+    one row, and windows that two texts have are shared, whoever has them: the rows are as many as the shared characters, not as the pairs.
+    """
+    size = min_chars // 2
+    bare = _texts(docs, min_chars).select("t1", "t2", "text")
+    few, many, done = _candidates(docs, min_chars)
+    pieces = None
+    if many.limit(1).count():
+        windows = stage(_hits_by_text(bare, many).mapInArrow(partial(_covering_windows, step=-(-size // AROUND), min_chars=min_chars), "g long, g2 long, t1 long, t2 long, pos int"), "windows")
+        same = windows.groupBy("g", "g2").agg(F.min(F.struct("t1", "t2")).alias("lo"), F.max(F.struct("t1", "t2")).alias("hi")).where("lo != hi").select("g", "g2")
+        held = salted_join(windows, same, "g", hot_buckets(windows, F.xxhash64("g")), "left_semi", ["g2"])
+        pieces = held.select("t1", "t2", F.col("pos").cast("long").alias("lo"), (F.col("pos") + min_chars).cast("long").alias("hi"))
+        pieces = stage(pieces, "pieces")
+    spans = stage(_spans(bare, few, min_chars, done), "spans")
+    sides = [spans.select(F.col(f"{x}1").alias("t1"), F.col(f"{x}2").alias("t2"), F.col(f"{x}_start").alias("lo"), (F.col(f"{x}_start") + F.col("n_chars")).alias("hi")) for x in "ab"]
+    both = sides[0].unionByName(sides[1])
+    both = (both if pieces is None else both.unionByName(pieces)).groupBy("t1", "t2", "lo").agg(F.max("hi").alias("hi"))
+    order = Window.partitionBy("t1", "t2").orderBy("lo")
     reach = F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pieces = both.select("t1", "t2", "lo", "hi").distinct().withColumn("new", F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", reach)))
-    covered = pieces.groupBy("t1", "t2").agg(F.sum("new").alias("covered"))
-    partners = both.groupBy("t1", "t2").agg(F.count_distinct("other").alias("partners"))
+    covered = both.withColumn("new", F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", reach))).groupBy("t1", "t2").agg(F.sum("new").alias("covered"))
     all_docs = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), *[c.alias(n) for c, n in zip(hash_pair(F.col("text")), ("t1", "t2"))]).distinct()
     copies = all_docs.where(F.col("n_chars") >= min_chars).groupBy("t1", "t2").agg(F.count("*").alias("copies"))
-    out = all_docs.join(copies, ["t1", "t2"], "left").join(covered, ["t1", "t2"], "left").join(partners, ["t1", "t2"], "left")
+    # a text that very many documents have is a hot key: documents are spread, the two facts about each text are repeated
+    facts = copies.join(covered, ["t1", "t2"], "left")
+    out = salted_join(all_docs, facts, "t1", hot_buckets(all_docs, F.xxhash64("t1")), "left", ["t2"])
     shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("long")
-    return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), shared.alias("shared_chars"), F.coalesce("partners", F.lit(0)).alias("n_partner_texts"), F.coalesce(F.col("copies"), F.lit(1)).alias("n_copies"), F.coalesce(F.try_divide(shared.cast("double"), F.col("n_chars")), F.lit(0.0)).alias("share"))
+    return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), shared.alias("shared_chars"), F.coalesce(F.col("copies"), F.lit(1)).alias("n_copies"), F.coalesce(F.try_divide(shared.cast("double"), F.col("n_chars")), F.lit(0.0)).alias("share"))

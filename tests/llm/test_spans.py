@@ -83,3 +83,44 @@ def test_portions(spark):
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], SCHEMA)
     got = {x.doc_id: x.shared_chars for x in spans.shared_portions(df, 40).collect()}
     assert got == {1: 100, 2: 100, 3: 80, 4: 80, 5: 0, 6: 0}
+
+
+def cover(rows, n):
+    """shared_chars by all windows; rows have distinct ids."""
+    where = {}
+    for i, t in rows:
+        for k in range(len(t or "") - n + 1):
+            where.setdefault(t[k : k + n], set()).add(i)
+    return {i: len({x for k in range(len(t or "") - n + 1) if len(where[t[k : k + n]]) > 1 for x in range(k, k + n)}) for i, t in rows}
+
+
+@pytest.mark.parametrize("most", [64, 3, 0])
+def test_portions_against_all_windows(spark, monkeypatch, most):
+    monkeypatch.setattr(spans, "GROUP_MOST", most)
+    rows = corpus(6, 16, docs=30)
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], SCHEMA)
+    assert {x.doc_id: x.shared_chars for x in spans.shared_portions(df, 16).collect()} == cover(rows, 16)
+
+
+def test_salted_groups_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(spans, "GROUP_ROWS", 2)
+    rows = corpus(7, 16, docs=30)
+    assert pairs(spark, rows, 16) == brute(rows, 16)
+
+
+def test_a_passage_of_very_many_documents(spark):
+    """Portions of N documents with one passage take rows by characters, not by pairs."""
+    r = random.Random(9)
+    text = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    passage = text(200)
+    rows = [(i, text(r.randint(0, 90)) + chr(0x4E00 + i) + passage + chr(0x4E00 + i) + text(30)) for i in range(3000)]
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], SCHEMA)
+    assert {x.shared_chars for x in spans.shared_portions(df).collect()} == {200}
+
+
+def test_a_very_long_copy(spark):
+    r = random.Random(10)
+    long = "".join(r.choice("abcdefgh ") for _ in range(400_000))
+    df = spark.createDataFrame([(1, "x" + long, "c", 1), (2, "yy" + long + "z", "c", 1), (3, "zz", "c", 1)], SCHEMA)
+    assert {tuple(x) for x in spans.shared_pairs(df).collect()} == {(1, 2)}
+    assert {x.doc_id: x.shared_chars for x in spans.shared_portions(df).collect()} == {1: 400_000, 2: 400_000, 3: 0}
