@@ -1,7 +1,7 @@
 """A linear-chain conditional random field over word shapes, for many short texts at once.
 
 Texts are one array of code points. Tokens are runs of Latin letters, digits or blanks, single Han characters and single marks; a token is seen
-through its word (if the labelled table has it), its shape and its neighbours. Training maximises the likelihood by forward-backward over all rows at once.
+through its word (if the labelled table has it), the last letters of the word, its shape and its neighbours. Training maximises the likelihood by forward-backward over all rows at once.
 Decoding is Viterbi. It first leaves out tokens that no best path can label: for an interval of labelled tokens to beat the
 unlabelled path, its summed margins must be positive, so tokens outside every such interval are surely unlabelled. The rest is decoded in batches by length.
 """
@@ -11,7 +11,10 @@ from __future__ import annotations
 import numpy as np
 
 HAN, LATIN, DIGIT, SPACE, MARK = 1, 2, 3, 4, 5
-SURNAME_ENDINGS = "gard quist owitz ova enko hurst hollow berry ström strom mere ington well wright ford anik elius aday sen son man ton ley".split()
+#: Counts changes of what the field sees; weights of another version don't fit.
+VERSION = 2
+SHAPES = 640
+CELLS = 1 << 13
 
 _TYPE = np.full(0x110000, MARK, dtype=np.uint8)
 _FOLD = np.arange(0x110000, dtype=np.uint32)  # full-width forms to plain ones
@@ -97,29 +100,17 @@ class Tokens:
         caps = upper[e[a]] - upper[s[a]]
         first = _UPPER[codes[s[a]]]
         kind = np.where(caps == 0, 40, np.where((caps == 1) & first, 42, np.where(caps == length[a], 44, 46)))
-        kind = np.where((length[a] == 1), kind + 8, kind)
-        named = np.zeros(len(a), dtype=bool)
-        for ending in SURNAME_ENDINGS:
-            m = len(ending)
-            want = Tokens._hash(ending)
-            fits = np.flatnonzero((length[a] > m + 1) & (caps > 0))
-            got = (sums[e[a[fits]]] - sums[e[a[fits]] - m]) * inverse[e[a[fits]] - m]
-            named[fits[got == want]] = True
-        shape[a] = kind + named
+        shape[a] = np.where((length[a] == 1), kind + 8, kind)
+        # hashed endings of Latin words; what they mean is learned from the labelled table
+        self.endings = []
+        for m in (3, 4):
+            ending = np.zeros(len(s), dtype=np.int32)
+            at = a[length[a] > m]
+            tail = (sums[e[at]] - sums[e[at] - m]) * inverse[e[at] - m]
+            ending[at] = (tail >> np.uint64(40)).astype(np.int64) % (CELLS - 1) + 1
+            self.endings.append(ending)
         return shape
 
-    @staticmethod
-    def _hash(text: str) -> np.uint64:
-        total, p = 0, 1
-        for c in text:
-            total += (ord(c) + 77) * 0x9E3779B97F4A7C15 * p
-            p *= int(_R)
-        return np.uint64(total % (1 << 64))
-
-
-SHAPES = 640
-CELLS = 1 << 13
-
 
 class Tagger:
     """Weights of the field and what it needs to see a token."""
@@ -149,6 +140,7 @@ class Tagger:
         mix = lambda *xs: (sum(x.astype(np.int64) * p for x, p in zip(xs, (1, 641, 410881, 5003))) * 2654435761 >> 7) % CELLS
         out += [mix(shapes[-1], shapes[0]), mix(shapes[0], shapes[1]), mix(shapes[-1], shapes[0], shapes[1]), mix(shapes[0], shapes[1], shapes[2]), mix(shapes[-2], shapes[-1], shapes[0])]
         out += [mix(out[3], out[4]), mix(out[4], out[5])]
+        out += [shifted(ending, k) for ending in t.endings for k in (0, 2, -2)]  # the word's own, and those of the words beyond a blank
         return out
 
     def _scores(self, feats: list[np.ndarray]) -> np.ndarray:
@@ -177,7 +169,7 @@ class Tagger:
         L = self.labels
         self.bias = np.zeros(L, dtype=np.float32)
         feats = self._features(t)
-        sizes = [len(self.vocabulary) + 2] * 9 + [SHAPES] * 5 + [CELLS] * 7
+        sizes = [len(self.vocabulary) + 2] * 9 + [SHAPES] * 5 + [CELLS] * 13
         self.tables = [np.zeros((n, L), dtype=np.float32) for n in sizes]
         self.trans = np.zeros((L, L), dtype=np.float32)
         gold = self._targets(t, [spans for _, spans in rows])
@@ -230,6 +222,14 @@ class Tagger:
                 x -= rate * (a / (1 - 0.9**it)) / (np.sqrt(b / (1 - 0.99**it)) + 1e-3)
         return self
 
+    def weights(self) -> dict[str, np.ndarray]:
+        return {"vocabulary": self.vocabulary, "bias": self.bias, "trans": self.trans, **{f"table{i}": x for i, x in enumerate(self.tables)}}
+
+    def restore(self, kept) -> "Tagger":
+        self.vocabulary, self.bias, self.trans = kept["vocabulary"], kept["bias"], kept["trans"]
+        self.tables = [kept[f"table{i}"] for i in range(sum(k.startswith("table") for k in kept))]
+        return self
+
     def decode(self, t: Tokens) -> np.ndarray:
         """Best label of every token."""
         n, L = len(t.start), self.labels

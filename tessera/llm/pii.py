@@ -1,35 +1,77 @@
 """Personal information in free text: found by a conditional random field, replaced by typed placeholders.
 
-The field (crf.py) is trained once per process from the small labelled table (pii_labels.py) and travels to the tasks with its weights, a few MB that do not grow with
-the data. Rows are tagged in Arrow batches without a shuffle. An exact check follows: a piece must have what its kind can't lack.
+The field (crf.py) is trained once from the small labelled table (pii_labels.py) and travels to the tasks with its weights, a few MB that do not grow with the data. Rows are tagged in Arrow batches without a shuffle. An exact check follows: a piece must have what its kind can't lack.
 
-Defined cases: null and empty texts have nothing to find and stay as they are; texts of any length are tagged whole (beyond half a million characters in parts that end with a line); a piece has one kind; repeated rows
+Defined cases: null and empty texts have nothing to find and stay as they are; texts of any length are tagged whole (beyond half a million characters in overlapping parts); a piece has one kind; repeated rows
 give one row each in `tag` and one in `found`; null parts of a row's key are empty; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
+import uuid
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.crf import SURNAME_ENDINGS, Tagger
+from tessera.common import shared_dir
+from tessera.llm.crf import VERSION, Tagger
 from tessera.llm.pii_labels import KINDS, ROWS, labelled_table
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "name": "[NAME]"}
+#: Taken off the unlabelled score in decoding.
+LEAN = 1.5
+#: Characters that neighbouring parts of a very long text share on each side; no piece is longer.
+MARGIN = 1024
 _KEPT: dict = {}
 
 
-def tagger(rows: int = ROWS) -> Tagger:
-    """The trained field; `rows` is the size of the labelled table."""
+def tagger(rows: int = ROWS, spark: SparkSession | None = None) -> Tagger:
+    """The trained field; `rows` is the size of the labelled table.
+
+    It is trained once: a process keeps it, and the shared folder has its weights under the digest of the table and the field, for every later process that uses the folder.
+    """
     if rows not in _KEPT:
-        _KEPT[rows] = Tagger(KINDS, lean=1.5).train(labelled_table(rows))
+        table = labelled_table(rows)
+        model = Tagger(KINDS, lean=LEAN)
+        path = None
+        if spark is not None:
+            digest = hashlib.sha256(repr((VERSION, LEAN, KINDS, table)).encode()).hexdigest()[:32]
+            path = f"{shared_dir(spark).rstrip('/')}/tagger-{digest}.npz"
+        if path is None or not _load(model, path):
+            model.train(table)
+            if path is not None:
+                _store(model, path)
+        _KEPT[rows] = model
     return _KEPT[rows]
 
 
+def _load(model: Tagger, path: str) -> bool:
+    store, at = fs.FileSystem.from_uri(path)
+    if store.get_file_info(at).type != fs.FileType.File:
+        return False
+    with store.open_input_file(at) as f:
+        model.restore(np.load(io.BytesIO(f.read()), allow_pickle=False))
+    return True
+
+
+def _store(model: Tagger, path: str) -> None:
+    store, at = fs.FileSystem.from_uri(path)
+    own = f"{at}.{uuid.uuid4().hex}"
+    data = io.BytesIO()
+    np.savez(data, **model.weights())
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(own) as f:
+        f.write(data.getvalue())
+    store.move(own, at)
+
+
 _EMAIL = re.compile(r"[\w.+\-]\s?(?:[@＠]|[(\[]\s?at\s?[)\]]|\bat\b)\s?[\w\-]+\s?(?:\.|．|\bdot\b)\s?\w", re.IGNORECASE)
 _STREET = re.compile(r"[路街巷道弄村里坊]|胡同|[0-9０-９][a-z]?\s+[a-z]{2}", re.IGNORECASE)
 
@@ -51,45 +93,40 @@ def holds(kind: str, text: str, a: int, b: int) -> bool:
         return digits >= 1 and _STREET.search(piece) is not None and not torn
     letters = [w for w in piece.replace(",", " ").split() if w]
     han = sum("㐀" <= c <= "鿿" for c in piece)
-    if han == 0 and piece == piece.lower() and not any(len(w) > 4 and w.endswith(tuple(SURNAME_ENDINGS)) for w in letters):
-        return False  # without capitals, one of the words has to look like a family name
     return digits == 0 and (han >= 2 or len([w for w in letters if len(w.strip(".")) > 1]) >= 2)
 
 
-def parts(text: str, most: int) -> list[str]:
-    """A text in parts of at most `most` characters, cut after a line end, else a blank, else anywhere."""
-    out, lo = [], 0
-    while len(text) - lo > most:
-        cut = max(text.rfind("\n", lo, lo + most), -1)
-        cut = cut if cut > lo else text.rfind(" ", lo, lo + most)
-        cut = cut + 1 if cut > lo else lo + most
-        out.append(text[lo:cut])
-        lo = cut
-    return [*out, text[lo:]]
+def parts(text: str, most: int) -> list[tuple[int, int, int, int]]:
+    """(begin, low, high, end) of the parts of a text: a part is seen from begin to end and answers for the pieces that begin from low to high.
+
+    Parts overlap by MARGIN on both sides, more than any piece is long, so that a piece at a border is seen whole, with what stands around it.
+    """
+    cuts = list(range(0, max(len(text), 1), most))
+    return [(max(0, lo - MARGIN), lo, min(lo + most, len(text)), min(lo + most + MARGIN, len(text))) for lo in cuts]
 
 
 def pieces(model: Tagger, texts: list[str], room: int = 1 << 19):
-    """(text number, start, end, kind) of all pieces, texts taken in slices of about `room` characters; a longer text is taken in several."""
+    """(text number, start, end, kind) of all pieces, texts taken in slices of about `room` characters; a longer text is taken in several overlapping parts."""
     part: list[str] = []
-    place: list[tuple[int, int]] = []  # text number and offset of each part
+    place: list[tuple[int, int, int, int]] = []  # text number, offset of each part, and the starts it answers for
     size = 0
 
     def flush():
         doc, start, end, kind = (x.tolist() for x in model.spans(part))
         for d, a, b, k in zip(doc, start, end, kind):
-            number, offset = place[d]
+            number, offset, low, high = place[d]
             for line in part[d][a:b].split("\n"):  # a piece lies in one line
-                if holds(KINDS[k], part[d], a, a + len(line)):
-                    yield number, offset + a, offset + a + len(line), k
+                first = a + len(line) - len(line.lstrip())
+                last = first + len(line.strip())
+                if low <= offset + first < high and holds(KINDS[k], part[d], first, last):
+                    yield number, offset + first, offset + last, k
                 a += len(line) + 1
 
     for i, text in enumerate(texts):
-        offset = 0
-        for p in parts(text, room):
-            part.append(p)
-            place.append((i, offset))
-            offset += len(p)
-            size += len(p)
+        for begin, low, high, end in parts(text, room):
+            part.append(text[begin:end])
+            place.append((i, begin, low, high))
+            size += end - begin
             if size >= room:
                 yield from flush()
                 part, place, size = [], [], 0
@@ -118,7 +155,7 @@ def _tag(batches, model: Tagger, keep: list[str]):
 def tag(df: DataFrame, keep: dict[str, Column], text: Column) -> DataFrame:
     """keep..., kind, occurrence, start, end of each piece of personal information; start and end count code points."""
     narrow = df.where(text.isNotNull() & (text != "")).select(*[c.cast("string").alias(n) for n, c in keep.items()], text.alias("_text"))
-    model = df.sparkSession.sparkContext.broadcast(tagger())  # a model of fixed size
+    model = df.sparkSession.sparkContext.broadcast(tagger(spark=df.sparkSession))  # a model of fixed size
     fields = ", ".join(f"{n} string" for n in keep)
     return narrow.mapInArrow(partial(_tag_with, model=model, keep=list(keep)), f"{fields}, kind string, occurrence int, start int, end int")
 
@@ -147,7 +184,7 @@ def redact(df: DataFrame, names: list[str]) -> DataFrame:
     """df with the personal information in the named columns replaced by placeholders; these columns come last."""
     from pyspark.sql import types as T
 
-    model = df.sparkSession.sparkContext.broadcast(tagger())
+    model = df.sparkSession.sparkContext.broadcast(tagger(spark=df.sparkSession))
     ordered = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *names)
     return ordered.mapInArrow(partial(_masked, model=model, names=names), T.StructType(ordered.schema.fields))
 

@@ -84,9 +84,46 @@ def test_numbering_and_long_text(spark, model):
 
 
 def test_parts(model):
-    assert pii.parts("", 5) == [""] and pii.parts("abcdef", 4) == ["abcd", "ef"] and pii.parts("ab\ncd ef", 5) == ["ab\n", "cd ef"]
-    text = "call 326.555.0149 after six\n" * 400
-    assert [x for x in pii.pieces(model, ["", text], room=1000)] == [x for x in pii.pieces(model, ["", text])]
+    assert pii.parts("", 5) == [(0, 0, 0, 0)] and [p[1:3] for p in pii.parts("abcdef", 4)] == [(0, 4), (4, 6)]
+    for line in ("call 326.555.0149 after six\n", "手机13812345678，改天再说。"):  # the latter without any line end or blank
+        text = line * 400
+        whole = [x for x in pii.pieces(model, ["", text])]
+        assert len(whole) == 400
+        for room in (1000, 1777, 4096):
+            assert [x for x in pii.pieces(model, ["", text], room=room)] == whole
+
+
+OTHER = {
+    "GIVEN": "Alice Brian Chloe Derek Emily Frank Grace Henry Isabel Jacob Karen Louis Megan Nathan Olivia Patrick Rachel Simon Teresa Victor".split(), "STEMS": "Black Silver Wood Stan Har Mil Red Nor Wal Rich".split(), "ENDINGS": "field bridge worth land stone mann sky ards brook".split(),
+    "GIVEN_ZH": list("伟芳娜敏静丽强磊洋勇艳杰娟涛超秀兰霞刚桂英"), "STREETS": "Baker Cedar Orchard Grove Victoria Walnut Highfield Riverside Queen Sunset".split(), "TOWNS": "Ashford Milton Redhill Stonebridge Greenville Fairview".split(),
+    "CITIES_ZH": "杭州市 苏州市吴中区 成都市锦江区 武汉市".split(), "ROADS_ZH": "建设 和平 文化 学府 滨江 新华".split(), "HOSTS": "company.example.com letters.test webmail.example.net".split(),
+}
+
+
+def test_recall_on_names_streets_and_towns_never_seen(model, monkeypatch):
+    """Rows from other pools than those of training (the figures of the README)."""
+    for name, pool in OTHER.items():
+        assert not set(pool) & set(getattr(labels, name))
+        monkeypatch.setattr(labels, name, pool)
+    rows = labels.labelled_table(1500, seed=4242)
+    found = {}
+    for d, a, b, k in pii.pieces(model, [t for t, _ in rows]):
+        found.setdefault(d, set()).add((a, b, labels.KINDS[k]))
+    for kind in labels.KINDS:
+        want = {(i, s) for i, (_, spans) in enumerate(rows) for s in spans if s[2] == kind}
+        got = {(i, s) for i, spans in found.items() for s in spans if s[2] == kind}
+        touched = sum(any(g[0] < s[1] and s[0] < g[1] and g[2] == kind for g in found.get(i, ())) for i, s in want)
+        print(f"{kind}: {len(want)} pieces, recall {len(want & got) / len(want):.3f} exact, {touched / len(want):.3f} found, precision {len(want & got) / len(got):.3f} exact")
+        assert touched / len(want) >= 0.9
+
+
+def test_weights_are_kept_in_the_shared_folder(spark, model, monkeypatch):
+    monkeypatch.setattr(pii, "_KEPT", {})
+    first = pii.tagger(60, spark)
+    monkeypatch.setattr(pii, "_KEPT", {})
+    monkeypatch.setattr(crf.Tagger, "train", None)  # would fail
+    text = ["ask Anna Fennhurst about the lease; call 326.555.0149"]
+    assert [x.tolist() for x in pii.tagger(60, spark).spans(text)] == [x.tolist() for x in first.spans(text)]
 
 
 def test_table_is_the_same_everywhere():
