@@ -95,8 +95,8 @@ def union_schema(raw: DataFrame) -> dict[str, tuple[list[str], str | None]]:
     return out
 
 
-def schema_changes(raw: DataFrame) -> DataFrame:
-    """(stream_id, file_seq, change_kind, field_name): each file against the stream's present file before it, in order."""
+def change_log(raw: DataFrame) -> DataFrame:
+    """(stream_id, position, file_seq, change_kind, field, old_name, new_name, old_type, new_type): each file against the stream's present file before it, numbered in order within its stream."""
     schemas = file_schemas(raw)
     # a field under several names in one file: names that both files have stay themselves, so compare by name first
     files = raw.where("stream_id is not null and file_seq is not null").select("stream_id", "file_seq").distinct()
@@ -113,36 +113,56 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("shared", shared)
     only_new = F.filter("n", lambda x: ~F.array_contains("shared", x.field_name))
     only_old = F.filter("o", lambda x: ~F.array_contains("shared", x.field_name))
-    kind = lambda k, name: F.struct(F.lit(k).alias("change_kind"), name.alias("field_name"))
+    none = F.struct(F.lit(None).cast("string").alias("field_name"), F.lit(None).cast("string").alias("field_type"))
+
+    def kind(k: str, x, y) -> Column:
+        """A change from y in the older to x in the newer file."""
+        return F.struct(F.lit(k).alias("change_kind"), y["field_name"].alias("old_name"), x["field_name"].alias("new_name"), y["field_type"].alias("old_type"), x["field_type"].alias("new_type"))
+
     differs = lambda a, b: a.isNotNull() & b.isNotNull() & (a != b)
-    same_name = F.flatten(F.transform("n", lambda x: F.transform(F.filter("o", lambda y: (y.field_name == x.field_name) & differs(x.field_type, y.field_type)), lambda y: kind("type_changed", x.field_name))))
+    same_name = F.flatten(F.transform("n", lambda x: F.transform(F.filter("o", lambda y: (y.field_name == x.field_name) & differs(x.field_type, y.field_type)), lambda y: kind("type_changed", x, y))))
     zipped = F.arrays_zip(only_new.alias("a"), only_old.alias("b"))
     renamed = F.flatten(
         F.transform(
             zipped,
             lambda z: F.array_compact(
                 F.array(
-                    F.when(z["a"].isNotNull() & z["b"].isNotNull(), kind("renamed", z["a"]["field_name"])),
-                    F.when(z["a"].isNotNull() & z["b"].isNotNull() & differs(z["a"]["field_type"], z["b"]["field_type"]), kind("type_changed", z["a"]["field_name"])),
-                    F.when(z["b"].isNull(), kind("added", z["a"]["field_name"])),
-                    F.when(z["a"].isNull(), kind("removed", z["b"]["field_name"])),
+                    F.when(z["a"].isNotNull() & z["b"].isNotNull(), kind("renamed", z["a"], z["b"])),
+                    F.when(z["a"].isNotNull() & z["b"].isNotNull() & differs(z["a"]["field_type"], z["b"]["field_type"]), kind("type_changed", z["a"], z["b"])),
+                    F.when(z["b"].isNull(), kind("added", z["a"], none)),
+                    F.when(z["a"].isNull(), kind("removed", none, z["b"])),
                 )
             ),
         )
     )
-    changes = pairs.select("stream_id", F.col("at").alias("file_seq"), F.explode(F.concat(same_name, renamed)).alias("c"))
-    return changes.select("stream_id", "file_seq", "c.change_kind", "c.field_name")
+    changes = pairs.select("stream_id", F.col("at").alias("file_seq"), "field", F.explode(F.concat(same_name, renamed)).alias("c")).select("stream_id", "file_seq", "field", "c.*")
+    position = F.row_number().over(Window.partitionBy("stream_id").orderBy("file_seq", "field", "change_kind", "new_name", "old_name"))
+    return changes.select("stream_id", position.alias("position"), "file_seq", "change_kind", "field", "old_name", "new_name", "old_type", "new_type")
+
+
+def schema_changes(raw: DataFrame) -> DataFrame:
+    """(stream_id, file_seq, change_kind, field_name): the log's changes by the name in the newer file, for removed in the older."""
+    return change_log(raw).select("stream_id", "file_seq", "change_kind", F.coalesce("new_name", "old_name").alias("field_name"))
+
+
+def field_values(messages: DataFrame) -> DataFrame:
+    """(stream_id, file_seq, line_no, field, value) of every value of unified messages, as text."""
+    keys = ["stream_id", "file_seq", "line_no"]
+    fields = [c for c in messages.columns if c not in (*keys, "other_values")]
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields]))
+    return messages.select(*keys, each.alias("x")).select(*keys, "x.*").where("value is not null")
 
 
 def unified_messages(raw: DataFrame) -> DataFrame:
-    """Every readable record once, cast to the union schema: the message fields in their types, every other field of any file in its promoted type.
+    """Every readable record once (rows with one place and text are one), cast to the union schema: the message fields in their types, every other field of any file in its promoted type.
 
     Objects and arrays are JSON text, fields with nulls only are text. other_values has, by name, what these columns don't hold as it is: another name of a
     field in the same record, a value its type can't hold, an object sender, a time that isn't whole seconds. A further field whose name is taken, letter case aside, gets a number.
     """
     schema = union_schema(raw)
-    parsed = _parsed(raw, ["stream_id", "file_seq", "line_no"]).where("schema_of_variant(_v) like 'OBJECT%'")
     keys = ["stream_id", "file_seq", "line_no"]
+    once = raw.select(*keys, "record").distinct()  # before they are parsed: the narrow text moves, not the wide row
+    parsed = _parsed(once, keys).where("schema_of_variant(_v) like 'OBJECT%'")
     names = [(field, n) for field, (spelled, _) in schema.items() for n in spelled]
     held = parsed.select(*keys, F.col("_v").cast("map<string,variant>").alias("_m"))
     texts = held.select(*keys, *[F.try_variant_get(F.element_at("_m", F.lit(n)), "$", "string").alias(f"_t{i}") for i, (_, n) in enumerate(names)])
@@ -182,4 +202,4 @@ def unified_messages(raw: DataFrame) -> DataFrame:
             label = f"{f}_{k}"
         taken.add(label.lower())
         labels[f] = label
-    return chosen.select(*keys, *[cast[f].alias(labels[f]) for f in fields], others.alias("other_values")).distinct()
+    return chosen.select(*keys, *[cast[f].alias(labels[f]) for f in fields], others.alias("other_values"))

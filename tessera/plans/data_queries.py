@@ -24,6 +24,15 @@ def p2_messages(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified_messages(table(spark, d, "message_raw"))
 
 
+def p2_log(spark: SparkSession, d: str) -> DataFrame:
+    return drift.change_log(table(spark, d, "message_raw"))
+
+
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """The unified messages in long form, so that one text of SQL holds for any fields."""
+    return drift.field_values(drift.unified_messages(table(spark, d, "message_raw")))
+
+
 def _vault(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {t: table(spark, d, t) for t in ("chat_room", "contact", "evidence", "places", "chatroom_member", "assets", "routed_episodes", "message")}
 
@@ -68,7 +77,7 @@ def p6_case_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d, "case_evidence")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_messages, p2_found, p2_messages, p4_found, p4_report, p6_found, p6_events, p6_evidence_links, p6_place_links, p6_claims, p6_scenario_evidence, p6_case_evidence)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_messages, p2_found, p2_log, p2_messages, p2_values, p4_found, p4_report, p6_found, p6_events, p6_evidence_links, p6_place_links, p6_claims, p6_scenario_evidence, p6_case_evidence)}
 
 _IDENTITY = r"""case when server_id is not null and trim(server_id, chr(32) || chr(9)) not in ('', '0') then 's' || lower(trim(server_id, chr(32) || chr(9)))
   else 'f' || conversation_id || '|' || local_id || '|' || create_time end"""
@@ -114,6 +123,23 @@ j as (select ref_table, ref_key, ref_field, r.tt, target_key, t, count(k) as n,
   from refs r left join targets on r.tt = targets.tt and target_key = k where target_key is not null and t is not null group by all)"""
 _FOUND = """select distinct ref_table, ref_key, ref_field, target_key, case when n = 0 then 'missing' when known then 'deleted' else 'late' end as reason, strftime(t, '%Y-%m') as period from j where ok is not true"""
 
+_CANONICAL = """case when p in ('localid','msglocalid') then 'local_id' when p in ('serverid','msgsvrid','svrid') then 'server_id' when p in ('createtime','createts') then 'create_time'
+  when p in ('sortseq','seq') then 'sort_seq' when p in ('localtype','msgtype') then 'local_type' when p in ('realsenderid','senderid','fromuser') then 'real_sender_id' when p in ('messagecontent','content','strcontent') then 'message_content'
+  when p in ('source','msgsource') then 'source' when p in ('issender','issend') then 'is_sender' else n end"""
+_DRIFT = rf"""r as (select stream_id, file_seq, json(record) as b from message_raw where json_valid(record)),
+k as (select stream_id, file_seq, unnest(json_keys(b)) as n, b from r where json_type(b) = 'OBJECT'),
+t as (select stream_id, file_seq, n, max(case json_type(b, '$."' || n || '"') when 'NULL' then null when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end) as ty from k group by all),
+c as (select *, lower(replace(n, '_', '')) as p from t),
+f as (select stream_id, file_seq, n, ty, {_CANONICAL} as c from c),
+files as (select stream_id, file_seq, lag(file_seq) over (partition by stream_id order by file_seq) as prev from (select distinct stream_id, file_seq from message_raw)),
+new as (select f.*, prev from f join files using (stream_id, file_seq) where prev is not null),
+old as (select f.stream_id, files.file_seq, f.n, f.ty, f.c from f join files on f.stream_id = files.stream_id and f.file_seq = files.prev),
+j as (select coalesce(new.stream_id, old.stream_id) as stream_id, coalesce(new.file_seq, old.file_seq) as file_seq, new.n as nn, old.n as n0, new.ty as nt, old.ty as ot, new.c as cn, old.c as co from new full join old on new.stream_id = old.stream_id and new.file_seq = old.file_seq and new.c = old.c)"""
+_CHANGES = """select stream_id, file_seq, 'added' as change_kind, nn as field_name from j where n0 is null
+union all select stream_id, file_seq, 'removed', n0 from j where nn is null
+union all select stream_id, file_seq, 'renamed', nn from j where nn <> n0
+union all select stream_id, file_seq, 'type_changed', nn from j where nt <> ot"""
+
 SQL = {
     "p1_found": f"with k as (select row_no, {_IDENTITY} as k from message) select row_no from (select row_no, k, min(row_no) over (partition by k) as m from k) where k is not null and row_no > m",
     "p1_messages": f"with k as (select *, {_IDENTITY} as k from message) select * exclude (k) from k qualify k is null or row_no = min(row_no) over (partition by k)",
@@ -148,20 +174,16 @@ everything as (select ref_table, ref_key, ref_field, target_key, reason, period,
   union all select 'message', child, 'membership', parent, 'inherited', period, 1 from sent where parent in (select ref_key from direct where ref_table = 'chatroom_member')
   union all select 'episode', child, 'route_id', parent, 'inherited', period, 1 from ep where parent in (select ref_key from direct where ref_table = 'routed_episodes'))
 select ref_table, ref_field, reason, depth, period, count(*) as n_references, count(distinct ref_key) as n_records from everything group by all""",
-    "p2_found": r"""
-with r as (select stream_id, file_seq, json(record) as b from message_raw where json_valid(record)),
-k as (select stream_id, file_seq, unnest(json_keys(b)) as n, b from r where json_type(b) = 'OBJECT'),
-t as (select stream_id, file_seq, n, max(case json_type(b, '$."' || n || '"') when 'NULL' then null when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end) as ty from k group by all),
-c as (select *, lower(replace(n, '_', '')) as p from t),
-f as (select stream_id, file_seq, n, ty, case when p in ('localid','msglocalid') then 'local_id' when p in ('serverid','msgsvrid','svrid') then 'server_id' when p in ('createtime','createts') then 'create_time'
-  when p in ('sortseq','seq') then 'sort_seq' when p in ('localtype','msgtype') then 'local_type' when p in ('realsenderid','senderid','fromuser') then 'real_sender_id' when p in ('messagecontent','content','strcontent') then 'message_content'
-  when p in ('source','msgsource') then 'source' when p in ('issender','issend') then 'is_sender' else n end as c from c),
-files as (select stream_id, file_seq, lag(file_seq) over (partition by stream_id order by file_seq) as prev from (select distinct stream_id, file_seq from message_raw)),
-new as (select f.*, prev from f join files using (stream_id, file_seq) where prev is not null),
-old as (select f.stream_id, files.file_seq, f.n, f.ty, f.c from f join files on f.stream_id = files.stream_id and f.file_seq = files.prev),
-j as (select coalesce(new.stream_id, old.stream_id) as stream_id, coalesce(new.file_seq, old.file_seq) as file_seq, new.n as nn, old.n as n0, new.ty as nt, old.ty as ot from new full join old on new.stream_id = old.stream_id and new.file_seq = old.file_seq and new.c = old.c)
-select stream_id, file_seq, 'added' as change_kind, nn as field_name from j where n0 is null
-union all select stream_id, file_seq, 'removed', n0 from j where nn is null
-union all select stream_id, file_seq, 'renamed', nn from j where nn <> n0
-union all select stream_id, file_seq, 'type_changed', nn from j where nt <> ot""",
+    "p2_found": f"with {_DRIFT} {_CHANGES}",
+    "p2_log": f"""with {_DRIFT}, log as (select stream_id, file_seq, coalesce(cn, co) as field, nn as new_name, n0 as old_name, nt as new_type, ot as old_type, unnest(list_filter([
+  case when n0 is null then 'added' end, case when nn is null then 'removed' end, case when nn <> n0 then 'renamed' end, case when nt <> ot then 'type_changed' end], lambda x: x is not null)) as change_kind from j)
+select stream_id, row_number() over (partition by stream_id order by file_seq, field, change_kind, new_name nulls first, old_name nulls first)::int as position, file_seq, change_kind, field, old_name, new_name, old_type, new_type from log""",
+    "p2_values": f"""with r as (select distinct stream_id, file_seq, line_no, record, json(record) as b from message_raw where json_valid(record)),
+k as (select *, unnest(json_keys(b)) as n from r where json_type(b) = 'OBJECT'),
+v as (select *, json_type(b, '$."' || n || '"') as ty, json_extract_string(b, '$."' || n || '"') as v, lower(replace(n, '_', '')) as p from k),
+c as (select *, {_CANONICAL} as field from v where ty <> 'NULL'),
+x as (select stream_id, file_seq, line_no, field, case when field = 'create_time' then (case when regexp_matches(v, '^[0-9]+$') then (case when v::bigint > 100000000000 then v::bigint // 1000 else v::bigint end) else epoch(try_cast(v as timestamptz))::bigint end)::varchar
+  when field = 'real_sender_id' and ty = 'OBJECT' then coalesce(json_extract_string(v, '$.wxid'), json_extract_string(v, '$.id'), json_extract_string(v, '$.username'), v)
+  when field = 'is_sender' then case when lower(v) in ('1', 'true') then '1' when lower(v) in ('0', 'false') then '0' end else v end as value from c)
+select * from x where value is not null""",
 }
