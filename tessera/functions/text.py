@@ -31,6 +31,14 @@ def normalize_text(text: Column, compatible: bool = True) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
 
 
+def normalize_each(texts: Column, compatible: bool = True) -> Column:
+    """normalize_text of every string of an array, null strings and a null array as empty ones; one pass over all of them joined."""
+    listed = F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("\u001f"), F.lit(" ")))
+    if compatible:
+        listed = F.when(F.size(listed) > 0, F.split(nfkc(F.array_join(listed, "\u001f")), "\u001f")).otherwise(listed)
+    return F.transform(listed, lambda x: normalize_text(x, False))
+
+
 def latin_terms(normal: Column) -> Column:
     """Distinct runs of Latin letters and numbers of at least two characters, without stop terms, of a normalised text."""
     runs = F.regexp_extract_all(normal, F.lit("([\\p{IsLatin}\\p{N}]+)"), 1)
@@ -148,3 +156,17 @@ def intersects(a: Column, b: Column) -> Column:
     """Whether two lists share a value, blanks and letter case aside."""
     plain = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.btrim(x)))
     return F.coalesce(F.arrays_overlap(plain(a), plain(b)), F.lit(False))
+
+
+def markdown_label(c: Column) -> Column:
+    """Text that stands as it is inside the brackets of a link."""
+    for x in ("\\", "[", "]"):
+        c = F.replace(c, F.lit(x), F.lit("\\" + x))
+    return c
+
+
+def navigation_metadata(maturity: Column, modules: Column, domain: Column, priority: Column, updated: Column) -> Column:
+    """A page's metadata in one line of code spans; what is null or empty is left out."""
+    listed = F.array_join(F.filter(modules, lambda m: m != ""), ",")
+    parts = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"`{n}:"), v, F.lit("`"))) for n, v in (("maturity", maturity), ("modules", listed), ("domain", domain), ("priority", priority), ("updated", updated))]
+    return F.concat_ws(" · ", *parts)

@@ -18,6 +18,12 @@ def retrieval_metrics(captures: DataFrame, relevant: DataFrame, k: int = 5, dept
     return j.select("case_id", F.col("n").alias("n_relevant"), F.round(z(F.col("in_k") / F.col("n")), 6).alias("recall_at_k"), F.round(z(1 / F.col("first")), 6).alias("mrr"), F.round(z(F.col("dcg") / F.col("ideal")), 6).alias("ndcg"))
 
 
+def group_means(metrics: DataFrame, groups: DataFrame, passed: Column) -> DataFrame:
+    """Per group of groups (case_id, group): cases, means of the retrieval metrics, and how many cases passed."""
+    means = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("recall_at_k", "mrr", "ndcg")]
+    return metrics.join(groups.select("case_id", "group").distinct(), "case_id").groupBy("group").agg(F.count("*").alias("cases"), *means, F.count_if(passed).alias("passed"))
+
+
 def ratios(qa: DataFrame) -> DataFrame:
     """(metric, value, valid): integer ratios; valid needs 0 <= numerator <= denominator and a denominator above zero."""
     ok = (F.col("denominator") > 0) & (F.col("numerator") >= 0) & (F.col("numerator") <= F.col("denominator"))

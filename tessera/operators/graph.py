@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.common import stage
@@ -94,47 +95,49 @@ def relation_formats(refs: DataFrame) -> DataFrame:
 COMMON_FIELDS = ["type", "title", "aliases", "tags", "created", "updated", "status", "retrieval_scope", "agent_priority", "domain", "evidence_status"]
 
 
+def _own_violations() -> Column:
+    """ARRAY of (code, detail) of what a page's own fields and body show."""
+    value = lambda f: F.get_json_object("fields", f"$.{f}")
+    blank = lambda f: F.coalesce(value(f), F.lit("")).isin("", "[]", "null")
+    bad = lambda when, code, detail: F.when(when, F.struct(F.lit(code).alias("code"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail")))
+    out = [bad(blank(f), "missing_field", F.lit(f)) for f in COMMON_FIELDS]
+    out.append(bad(~F.coalesce(F.col("type") == type_for_path(F.col("path")), F.lit(False)), "type_mismatch", F.col("type")))
+    out.append(bad(~F.coalesce("body", F.lit("")).rlike("(?m)^#[ \\t]+\\S"), "missing_heading", F.lit("")))
+    out += [bad(~blank(f) & ~value(f).rlike("^\\d{4}-\\d{2}-\\d{2}(T00:00:00\\.000Z)?$"), "bad_date", F.lit(f)) for f in ("created", "updated")]
+    for name, _, scope, status, required in PAGE_TYPES:
+        own = F.col("type") == name
+        out.append(bad(own & (F.coalesce(value("status"), F.lit("")) != status), "bad_status", value("status")))
+        out.append(bad(own & (F.coalesce(value("retrieval_scope"), F.lit("")) != scope), "bad_scope", value("retrieval_scope")))
+        out += [bad(own & ~F.contains("fields", F.lit(f'"{f}"')), "missing_type_field", F.lit(f)) for f in required]
+    return F.array_compact(F.array(*out))
+
+
 def violations(pages: DataFrame) -> DataFrame:
-    """(path, code, detail) of everything wrong in parsed pages: path, fields (JSON), body, title, type, aliases, related, evidence, derived_pages."""
+    """(path, code, detail) of everything wrong in parsed pages: path, fields (JSON), body, title, type, aliases, related, evidence, derived_pages.
+
+    Pages are parsed and scanned once: what a page shows by itself and its links become a narrow table, and all links, of fields and of bodies, are resolved together.
+    """
     def emit(rows: DataFrame, code: str, detail) -> DataFrame:
         return rows.select("path", F.lit(code).alias("code"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail"))
 
-    value = lambda f: F.get_json_object("fields", f"$.{f}")
-    blank = lambda f: F.coalesce(value(f), F.lit("")).isin("", "[]", "null")
-    expected = type_for_path(F.col("path"))
-    p = pages.withColumn("slug", F.regexp_replace("path", "\\.md$", ""))
-    missing = F.explode(F.array_compact(F.array(*[F.when(blank(f), F.lit(f)) for f in COMMON_FIELDS])))
-    out = [
-        emit(p.withColumn("f", missing), "missing_field", F.col("f")),
-        emit(p.where(~F.coalesce(F.col("type") == expected, F.lit(False))), "type_mismatch", F.col("type")),
-        emit(p.where(~F.coalesce("body", F.lit("")).rlike("(?m)^#[ \\t]+\\S")), "missing_heading", F.lit("")),
-    ]
-    for f in ("created", "updated"):
-        out.append(emit(p.where(~blank(f) & ~value(f).rlike("^\\d{4}-\\d{2}-\\d{2}(T00:00:00\\.000Z)?$")), "bad_date", F.lit(f)))
-    for name, _, scope, status, required in PAGE_TYPES:
-        own = p.where(F.col("type") == name)
-        out.append(emit(own.where(F.coalesce(value("status"), F.lit("")) != status), "bad_status", value("status")))
-        out.append(emit(own.where(F.coalesce(value("retrieval_scope"), F.lit("")) != scope), "bad_scope", value("retrieval_scope")))
-        for f in required:
-            out.append(emit(own.where(~F.contains("fields", F.lit(f'"{f}"'))), "missing_type_field", F.lit(f)))
-    refs = resolve(references(p), p)
+    none = F.lit(None).cast("string")
+    seen = pages.withColumn("slug", F.regexp_replace("path", "\\.md$", ""))
+    p = stage(seen.select("path", "slug", "type", "title", "aliases", "related", "evidence", "derived_pages", wikilinks(F.col("body")).alias("links"), _own_violations().alias("own")), "pages")
     where = p.select("slug", "path")
-    out.append(emit(refs.where("target is null").join(where, "slug"), "unresolved_reference", F.concat_ws(":", "field", "reference")))
-    kinds = p.select(F.col("slug").alias("target"), F.col("type").alias("target_type"))
-    typed = refs.where("target is not null").join(kinds, "target").join(where, "slug")
-    out.append(emit(typed.where("field = 'evidence' and target_type <> 'source'"), "evidence_is_no_source", F.col("reference")))
-    out.append(emit(typed.where("field in ('related', 'derived_pages') and target_type = 'source'"), "relation_to_source", F.col("reference")))
-    edges = typed.where("field in ('evidence', 'derived_pages')").select(F.col("slug").alias("src"), "link_type", F.col("target").alias("dst")).distinct()
-    out.append(emit(one_sided(edges).join(where, F.col("src") == F.col("slug")), "missing_reverse", F.col("dst")))
+    links = p.select("slug", F.lit("body").alias("field"), none.alias("link_type"), F.explode("links").alias("reference")).distinct()
+    refs = stage(resolve(references(p).unionByName(links), p).join(where, "slug"), "references")
+    lost, kinds = refs.where("target is null"), p.select(F.col("slug").alias("target"), F.col("type").alias("target_type"))
+    typed = refs.where("target is not null and field != 'body'").join(kinds, "target")
+    edges = refs.where("target is not null and field in ('evidence', 'derived_pages')").select(F.col("slug").alias("src"), "link_type", F.col("target").alias("dst")).distinct()
     names = p.select(F.col("path").alias("owner"), F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     shared = names.select("owner", F.lower(F.btrim("name")).alias("name")).join(duplicate_names(names).select("name", "first_owner"), "name").where("owner <> first_owner").withColumnRenamed("owner", "path")
-    out.append(emit(shared.distinct(), "duplicate_name", F.col("name")))
-    links = resolve(p.select("path", F.explode(wikilinks(F.col("body"))).alias("reference")), p).where("target is null")
-    out.append(emit(links.distinct(), "unresolved_wikilink", F.col("reference")))
-    all_rows = out[0]
-    for o in out[1:]:
-        all_rows = all_rows.unionByName(o)
-    return all_rows.distinct()
+    of_link = F.when(F.col("field") == "body", F.struct(F.lit("unresolved_wikilink").alias("code"), F.col("reference").alias("detail"))).otherwise(F.struct(F.lit("unresolved_reference").alias("code"), F.concat_ws(":", "field", "reference").alias("detail")))
+    to_source = F.when((F.col("field") == "evidence") & (F.col("target_type") != "source"), "evidence_is_no_source").when(F.col("field").isin("related", "derived_pages") & (F.col("target_type") == "source"), "relation_to_source")
+    out = [
+        p.select("path", F.explode("own").alias("v")).select("path", "v.*"), lost.select("path", of_link.alias("v")).select("path", "v.*"),
+        typed.select("path", to_source.alias("code"), F.col("reference").alias("detail")).where("code is not null"), emit(one_sided(edges).join(where, F.col("src") == F.col("slug")), "missing_reverse", F.col("dst")), emit(shared, "duplicate_name", F.col("name")),
+    ]
+    return reduce(DataFrame.unionByName, out).distinct()
 
 
 def type_counts(pages: DataFrame) -> DataFrame:
@@ -147,8 +150,3 @@ def navigation(pages: DataFrame) -> DataFrame:
     """(type, slug, line) in order of type and slug: a range-partitioned sort, so an index of any length is written in parallel."""
     line = F.concat(F.lit("[["), F.col("slug"), F.lit("]] "), F.coalesce("title", F.lit("")), F.lit(": "), summary(F.col("body")))
     return pages.select("type", "slug", line.alias("line")).orderBy("type", "slug", "line")
-
-
-def running_owner(names: DataFrame) -> DataFrame:
-    """names with first_owner: the least owner of each name."""
-    return names.withColumn("first_owner", F.min("owner").over(Window.partitionBy(F.lower(F.btrim("name")))))

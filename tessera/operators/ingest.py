@@ -122,7 +122,7 @@ def watermarks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def members(rooms: DataFrame, member: DataFrame, contact: DataFrame) -> DataFrame:
-    """(room, n_members, names): rooms with their members' usernames in order; rooms without members stay."""
+    """(room_id, room, member_name): rooms with their members' usernames, a row each, so that a room of any size is no single row; rooms without members stay."""
     pairs = member.join(contact.select(F.col("id").alias("member_id"), F.col("username").alias("member_name")).distinct(), "member_id").select("room_id", "member_name").distinct()
     return rooms.select(F.col("id").alias("room_id"), F.col("username").alias("room")).distinct().join(pairs, "room_id", "left")
 

@@ -130,6 +130,29 @@ def ready(units: DataFrame, accepted: DataFrame) -> DataFrame:
     return units.join(open_, "unit", "left_anti")
 
 
+def status_counts(states: DataFrame, now: Column, reserved: str) -> DataFrame:
+    """One row per status of states (status, lease_until) with its units, and for the reserved status how many of their leases are live and how many have expired."""
+    live = (F.col("status") == reserved) & F.coalesce(F.col("lease_until") >= now, F.lit(False))
+    return states.groupBy("status").agg(F.count("*").alias("n"), F.count_if(live).alias("live"), F.count_if((F.col("status") == reserved) & ~live).alias("expired"))
+
+
+def cooldown(states: DataFrame, failed: Column, failed_at: str, least: int = 3, seconds: int = 60) -> DataFrame:
+    """One row: failures, whether there are at least `least`, and until when to wait after the last of them."""
+    s = states.where(failed & F.col(failed_at).isNotNull()).agg(F.count("*").alias("failures"), F.max(failed_at).alias("last_failed"))
+    repeated = F.col("failures") >= least
+    return s.select("failures", repeated.alias("repeated"), F.when(repeated, F.col("last_failed") + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {seconds})")).alias("cooldown_until"))
+
+
+#: Domains in the order of a ledger.
+DOMAINS = ["travel", "education", "work", "relationship", "residence", "family", "health", "finance", "creation"]
+
+
+def in_domain_order(results: DataFrame) -> DataFrame:
+    """results with domain_index, ordered by the domain's place in DOMAINS, then route_id; other domains come last."""
+    place = F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain"))
+    return results.withColumn("domain_index", F.when(place > 0, place - 1).otherwise(len(DOMAINS)).cast("int")).orderBy("domain_index", "route_id")
+
+
 def shares(log: DataFrame, assessed: Column, rejected: Column, least: int = 3, limit: float = 0.67) -> DataFrame:
     """One row: assessed, rejected, and whether the rejected share reaches the limit over at least `least` events."""
     s = log.agg(F.count_if(assessed).alias("assessed"), F.count_if(assessed & rejected).alias("rejected"))

@@ -254,7 +254,7 @@ def found(episodes: DataFrame, assets: DataFrame) -> DataFrame:
 
 #: Fields of the flat tables, by path below the parent.
 EVENT_FIELDS = ("subject", "disposition", "title", "summary", "importance", "asserted_event_time.value", "asserted_event_time.precision")
-CLAIM_FIELDS = ("asset_id", "layer", "statement", "confidence", "calibration.status")
+CLAIM_FIELDS = ("asset_id", "layer", "statement", "confidence", "calibration.status", "calibration.behavior_change")
 NUMBERS = {"importance"}
 
 

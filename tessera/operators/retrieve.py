@@ -6,13 +6,19 @@ read once and only hits are shuffled. Scope is filtered before any ranking or li
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import cjk_ngrams, count_occurrences, latin_terms, normalize_text, query_terms
+from tessera.functions.text import cjk_ngrams, count_occurrences, latin_terms, normalize_each, normalize_text, query_terms
 from tessera.functions.vectors import dot
 
 MAX_QUERIES = 100_000
+#: Query vectors that one call takes.
+QUERY_BYTES = 64 << 20
 
 
 def stated(queries: DataFrame) -> DataFrame:
@@ -65,6 +71,51 @@ def vector_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.select("slug", "chunk_id", "vector").crossJoin(q).select("query_id", "slug", "chunk_id", dot(F.col("vector"), F.col("_q")).alias("score"))
 
 
+def _nearest(batches, ids: list, block: np.ndarray, k: int):
+    """The best k of each query among the rows of this task so far, ties with the last one included; rows that can't be among them any more aren't emitted."""
+    least = np.full(len(ids), -np.inf)
+    kept = [np.zeros(0) for _ in ids]
+    for batch in batches:
+        column = batch.column("vector")
+        rows = np.flatnonzero(np.asarray(column.is_valid()))
+        if not len(rows) or not len(ids):
+            continue
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        scores = flat.reshape(len(rows), -1) @ block.T  # a block of rows against all queries
+        at, who, what = [], [], []
+        for q in range(len(ids)):
+            s = scores[:, q]
+            good = np.flatnonzero(s >= least[q])
+            if not len(good):
+                continue
+            top = np.concatenate([kept[q], s[good]])
+            if len(top) > k:
+                top = np.partition(top, len(top) - k)[-k:]
+                least[q] = top.min()
+                good = good[s[good] >= least[q]]
+            kept[q] = top
+            at.append(rows[good])
+            who.append(np.full(len(good), q))
+            what.append(s[good])
+        if at:
+            place, who = pa.array(np.concatenate(at)), np.concatenate(who)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in who], pa.int64()), batch.column("slug").take(place), batch.column("chunk_id").take(place), pa.array(np.concatenate(what))], names=["query_id", "slug", "chunk_id", "score"])
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Candidates (query_id, slug, chunk_id, score) that hold the k best inner products of every query with ties; top_k makes the final cut.
+
+    The stated queries (query_id long, vector) of at most QUERY_BYTES travel to the tasks; batches of rows meet them as matrix products, and a task hands on little more than k rows a query.
+    Vectors of one length; a null vector has no score. Larger query sets come in several calls.
+    """
+    size = queries.agg(F.sum(F.size("vector") * 8 + 16)).first()[0] or 0
+    if size > QUERY_BYTES:
+        raise ValueError(f"query vectors of {size} bytes in one call; at most {QUERY_BYTES}")
+    rows = queries.where("vector is not null").select("query_id", "vector").collect()  # the stated queries, their size checked
+    block = np.array([r["vector"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    return chunks.select("slug", "chunk_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(partial(_nearest, ids=[r["query_id"] for r in rows], block=block, k=k), "query_id long, slug string, chunk_id string, score double")
+
+
 def top_k(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each query. The limit runs before and after the shuffle (a window group limit), so a hot query costs k rows per task."""
     by = Window.partitionBy("query_id").orderBy(*(order or (F.desc("score"), F.asc("slug"))))
@@ -104,13 +155,11 @@ def keyword_hits(queries: DataFrame, pages: DataFrame, compatible: bool = True)
     terms = F.concat(tagged(cjk_ngrams(F.col("q"), 4), lambda t: F.lit(4)), tagged(latin_terms(F.col("q")), lambda t: F.when(F.length(t) >= 5, 4).otherwise(2)), tagged(cjk_ngrams(F.col("q"), 2), lambda t: F.lit(1)))
     q = stated(q.select("query_id", "q", squeeze(F.col("q")).alias("cq"), terms.alias("terms")))
     name = F.replace(F.element_at(F.split("slug", "/"), -1), F.lit("-"), F.lit(" "))
+    names = F.filter(F.concat(F.array("title", "base"), "names"), lambda x: x != "")
     p = pages.select(
-        "slug", norm(F.col("title")).alias("title"), norm(F.array_join("aliases", " ")).alias("aliases"), norm(F.array_join("tags", " ")).alias("tags"), norm(F.replace("slug", F.lit("-"), F.lit(" "))).alias("slug_text"),
+        "slug", normalize_each(F.col("aliases"), compatible).alias("names"), norm(F.col("title")).alias("title"), norm(F.array_join("aliases", " ")).alias("aliases"), norm(F.array_join("tags", " ")).alias("tags"), norm(F.replace("slug", F.lit("-"), F.lit(" "))).alias("slug_text"),
         norm(F.array_join("modules", " ")).alias("modules"), norm(F.col("domain")).alias("domain"), norm(F.col("body")).alias("body"), norm(name).alias("base"),
     )
-    aliases_each = pages.select("slug", F.posexplode_outer("aliases").alias("_i", "alias")).select("slug", norm(F.col("alias")).alias("alias")).groupBy("slug").agg(F.collect_set("alias").alias("names"))
-    p = p.join(aliases_each, "slug", "left")
-    names = F.filter(F.concat(F.array("title", "base"), F.coalesce("names", F.array().cast("array<string>"))), lambda x: x != "")
     exact = (F.col("q") != "") & F.exists(names, lambda x: x == F.col("q"))
     held = (F.length("cq") >= 4) & F.exists(names, lambda x: F.contains(squeeze(x), F.col("cq")))
     in_body = (F.length("cq") >= 4) & F.contains(squeeze(F.col("body")), F.col("cq"))
@@ -150,3 +199,10 @@ def unique_fuzzy(pages: DataFrame, text: str, limit: int = 5) -> DataFrame:
     """The page whose slug or title holds the text, if exactly one does; more than `limit` candidates are never listed."""
     hits = pages.where(F.contains(F.lower("slug"), F.lit(text.lower())) | F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit(text.lower()))).select("slug", "title").limit(limit)
     return hits.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).where("_n = 1").drop("_n")
+
+
+def list_pages(pages: DataFrame, types: list[str] | None = None, limit: int = 50, by_slug: bool = False) -> DataFrame:
+    """The first pages (at most 100), latest first, then by slug, or by slug alone; a page without a date comes last."""
+    chosen = pages.where(F.col("type").isin(types)) if types else pages
+    order = [F.asc("slug")] if by_slug else [F.desc_nulls_last("updated_at"), F.asc("slug")]
+    return chosen.select("slug", "type", "title", "updated_at").orderBy(*order).limit(max(1, min(100, limit)))

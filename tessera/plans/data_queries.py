@@ -160,8 +160,8 @@ select * exclude (events) from t where coalesce(subject, disposition, title, sum
 with {_PACKAGES}, l as (select package_id, b, json_extract(b, '$.self_model') as v from a),
 i as (select package_id, b, pos, case when json_type(v) = 'ARRAY' then json_extract(v, '$[' || pos || ']') else v end as c
   from (select package_id, b, v, unnest(range(case when json_type(v) = 'ARRAY' then json_array_length(v)::bigint else 1 end))::int as pos from l where v is not null)),
-t as (select package_id, pos, json_extract_string(c, '$.asset_id') as asset_id, json_extract_string(c, '$.layer') as layer, json_extract_string(c, '$.statement') as statement, json_extract_string(c, '$.confidence') as confidence, json_extract_string(c, '$.calibration.status') as calibration_status from i)
-select * from t where coalesce(asset_id, layer, statement, confidence, calibration_status) is not null""",
+t as (select package_id, pos, json_extract_string(c, '$.asset_id') as asset_id, json_extract_string(c, '$.layer') as layer, json_extract_string(c, '$.statement') as statement, json_extract_string(c, '$.confidence') as confidence, json_extract_string(c, '$.calibration.status') as calibration_status, json_extract_string(c, '$.calibration.behavior_change') as calibration_behavior_change from i)
+select * from t where coalesce(asset_id, layer, statement, confidence, calibration_status, calibration_behavior_change) is not null""",
     "p6_scenario_evidence": _package_links("$.voice.scenarios", "scenario_pos"),
     "p6_case_evidence": _package_links("$.evaluation_cases", "case_pos"),
     "p4_found": f"with {_REFS} {_FOUND}",

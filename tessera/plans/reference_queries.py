@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.common import table
 from tessera.functions import digests, text, vectors
-from tessera.operators import evaluate, graph, history, ingest, ledger, packing, places, retrieve, route, runtime
+from tessera.operators import assets, evaluate, graph, history, ingest, ledger, nested, packing, places, retrieve, route, runtime
 from tessera.sources import files, markdown
 
 QUERIES: dict = {}
@@ -29,6 +29,11 @@ ASKED = [(1, "frame the private recipe against"), (2, "花园 仓库 清单"), (
 _ASKED = ", ".join(f"({i}, '{q}')" for i, q in ASKED)
 
 
+#: Queries long enough that one page alone may have the first rank.
+UNIQUE = [(i, q) for i, q in enumerate(("Copper Relay review of the quarry ledger", "Marble Signal overview and index", "花园仓库清单复盘", "发票核对方法与结论", "Willow Bridge notebook margin", "Harrow Console private recipe method", "周报样张", "Fennel Garden decision draft"), 1)]
+_UNIQUE = ", ".join(f"({i}, '{q}')" for i, q in UNIQUE)
+
+
 def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ASKED, "query_id int, query string")
 
@@ -199,7 +204,7 @@ vs as (select query_id, ql, vec_id, label, list_sum(list_transform(list_zip(embe
 
 @query(f"with {_VECTOR} select query_id, vec_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, vec_id::varchar)::int as rank from vs qualify rank <= 10")
 def vector_topk(spark, d):
-    hits = retrieve.top_k(retrieve.vector_scores(_vector_queries(spark, d), _vectors(spark, d)), 10, F.desc("score"), F.asc("chunk_id"))
+    hits = retrieve.top_k(retrieve.nearest(_vector_queries(spark, d), _vectors(spark, d), 10), 10, F.desc("score"), F.asc("chunk_id"))
     return hits.select("query_id", F.col("chunk_id").cast("long").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -224,12 +229,32 @@ select query_id, slug, score, row_number() over (partition by query_id order by
 
 @query(_FUSE)
 def rrf_fusion(spark, d):
-    both = retrieve.vector_scores(_vector_queries(spark, d), _vectors(spark, d))
-    labels = _vectors(spark, d).select("slug", "chunk_id", "vec_id", "label").join(F.broadcast(_vector_queries(spark, d).select("query_id", "label")), "label")  # the stated queries
+    both = retrieve.nearest(_vector_queries(spark, d), _vectors(spark, d), 100)  # a page is one vector here
+    labels = _vectors(spark, d).select("slug", "chunk_id", "vec_id", "label").join(retrieve.stated(_vector_queries(spark, d).select("query_id", "label")), "label")
     lexical = labels.select("query_id", "slug", "chunk_id", (1.0 / (1 + F.col("vec_id") % 7)).alias("score"))
     return retrieve.fuse(lexical, both).select("query_id", "slug", "score", "rank")
 
 
+_HYBRID = f"""with {_LEXICAL}, qv as (select id as query_id, embedding as qe from (values (1), (2), (3), (4), (5), (6)) v(id) join embeddings on vec_id = id * 7),
+ev as (select query_id, vec_id::varchar as chunk_id, list_sum(list_transform(list_zip(embedding, qe), lambda p: p[1]::double * p[2]::double)) as score from embeddings join documents on doc_id = vec_id, qv),
+a as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as r from lexical qualify r <= 100),
+b as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as r from ev qualify r <= 100),
+f as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_id, b.chunk_id) as chunk_id, coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) as rrf, b.score as v, case when a.score > 0 then case when b.score is null then 'native_lexical' else 'native_lexical_vector' end else 'native_vector' end as evidence from a full join b on a.query_id = b.query_id and a.chunk_id = b.chunk_id),
+s as (select query_id, chunk_id, evidence, round(0.65 * 30.5 * rrf + 0.35 * greatest(0, coalesce(v, 0)), 6) as score from f)
+select query_id, chunk_id, evidence, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from s qualify rank <= 10"""
+
+
+@query(_HYBRID)
+def hybrid_fusion(spark, d):
+    """Both arms over the documents: their texts, and the vectors of the same ids."""
+    lexical = retrieve.lexical_scores(asked(spark), _chunks(spark, d), False).withColumn("slug", F.col("chunk_id"))  # slugs repeat, so a document is a page
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
+    both = e.join(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id")), "chunk_id").withColumn("slug", F.col("chunk_id"))
+    ids = asked(spark).select(F.col("query_id").cast("long").alias("query_id"), (F.col("query_id") * 7).cast("string").alias("chunk_id"))
+    vector = retrieve.nearest(e.join(retrieve.stated(ids), "chunk_id").select("query_id", "vector"), both, 100).withColumn("query_id", F.col("query_id").cast("int"))
+    return retrieve.fuse(lexical, vector).select("query_id", "chunk_id", "evidence", "score", "rank")
+
+
 _KW = rf"""with {PAGES}, q0 as (select id as query_id, {_NORM.format("q")} as q from (values {_ASKED}) v(id, q)),
 t as (select query_id, unnest({_grams("q", 4)}) as term, 4 as w from q0 union all select query_id, term, case when length(term) >= 5 then 4 else 2 end from (select query_id, unnest({_latin("q")}) as term from q0) union all select query_id, unnest({_grams("q", 2)}), 1 from q0),
 p as (select doc_id, slug, {_NORM.format("title")} as title, {_NORM.format("array_to_string(tags, ' ')")} as tags, {_NORM.format("replace(slug, '-', ' ')")} as slug_text, {_NORM.format("array_to_string(modules, ' ')")} as modules, {_NORM.format("domain")} as domain, {_NORM.format("body")} as body,
@@ -264,14 +289,21 @@ def _matches_sql(field: str, weight: int) -> str:
 @query(f"with {PAGES}, q as (select id as query_id, {_NORM.format('q')} as qn from (values {_ASKED}) v(id, q)), m as ({_matches_sql('title', 8)} union all {_matches_sql(chr(39) * 2, 7)} union all {_matches_sql(f'array_to_string(tags, {chr(39)} {chr(39)})', 4)} union all {_matches_sql(f'replace(string_split(slug, {chr(39)}/{chr(39)})[-1], {chr(39)}-{chr(39)}, {chr(39)} {chr(39)})', 3)}), s as (select query_id, doc_id, sum(w * case when length(term) >= 4 then 3 else 1 end)::int as score from m group by all) select query_id, doc_id, score, rank() over (partition by query_id order by score desc)::int as rank, count(*) over (partition by query_id, score) as ties from s")
 def metadata_match_weights(spark, d):
     keyed = pages(spark, d).withColumn("slug", F.concat_ws("/", F.col("doc_id").cast("string"), text.basename(F.col("slug"))))
-    m = route.metadata_matches(asked(spark), keyed, False)
+    m = route.metadata_matches(asked(spark), keyed)
     return m.select("query_id", F.substring_index("slug", "/", 1).cast("long").alias("doc_id"), F.col("score").cast("int").alias("score"), "rank", "ties")
 
 
+@query(f"with {PAGES}, q as (select id as query_id, {_NORM.format('q')} as qn from (values {_UNIQUE}) v(id, q)), m as ({_matches_sql('title', 8)} union all {_matches_sql(f'array_to_string(tags, {chr(39)} {chr(39)})', 4)} union all {_matches_sql(f'replace(string_split(slug, {chr(39)}/{chr(39)})[-1], {chr(39)}-{chr(39)}, {chr(39)} {chr(39)})', 3)}), s as (select query_id, doc_id, sum(w * case when length(term) >= 4 then 3 else 1 end) as score, bool_or(w = 8) as named from m group by all), r as (select *, rank() over (partition by query_id order by score desc) as rank, count(*) over (partition by query_id, score) as ties from s) select query_id, doc_id from r where rank = 1 and ties = 1 and named")
+def verified_metadata(spark, d):
+    keyed = pages(spark, d).withColumn("slug", F.concat_ws("/", F.col("doc_id").cast("string"), text.basename(F.col("slug"))))
+    q = spark.createDataFrame(UNIQUE, "query_id int, query string")
+    return route.verified_metadata(route.metadata_matches(q, keyed)).select("query_id", F.substring_index("slug", "/", 1).cast("long").alias("doc_id"))
+
+
 def _routed(spark, d):
     p = pages(spark, d).where(markdown.in_scope(F.col("type"), "result")).groupBy("slug").agg(F.min_by(F.struct("type", "title", "aliases", "tags", "modules"), "doc_id").alias("p")).select("slug", "p.*").withColumn("base_score", F.lit(0.5)).withColumn("decision_status", F.lit("active"))
     q = asked(spark).withColumn("context", F.lit("")).withColumn("module", F.lit("quarry"))
-    return q, route.score_candidates(q, p, False)
+    return q, route.score_candidates(q, p)
 
 
 _ROUTE = f"""with {PAGES}, u as (select slug, arg_min(struct_pack(type := type, title := title, tags := tags, modules := modules), doc_id) as p from pages where type in ('project', 'decision', 'methodology', 'synthesis', 'concept') group by 1),
@@ -304,11 +336,17 @@ def personal_context_intent(spark, d):
 @query(f"with {_VECTOR}, cap as (select query_id, vec_id, label, ql, row_number() over (partition by query_id order by score desc, vec_id::varchar) as r from vs), rel as (select query_id, count(*) as n from vs where label = ql group by 1), g as (select query_id, count(*) filter (r <= 5) as k, min(r) as f, sum(1 / log2(r + 1)) as dcg from cap where r <= 10 and label = ql group by 1) select query_id as case_id, n as n_relevant, round(coalesce(k / n, 0), 6) as recall_at_k, round(coalesce(1 / f, 0), 6) as mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) as ndcg from rel left join g using (query_id)")
 def eval_retrieval(spark, d):
     v, q = _vectors(spark, d), _vector_queries(spark, d)
-    cap = retrieve.top_k(retrieve.vector_scores(q, v), 10, F.desc("score"), F.asc("chunk_id")).select(F.col("query_id").alias("case_id"), "rank", "slug")
-    rel = v.join(F.broadcast(q.select("query_id", "label")), "label").select(F.col("query_id").alias("case_id"), "slug")  # the stated queries
+    cap = retrieve.top_k(retrieve.nearest(q, v, 10), 10, F.desc("score"), F.asc("chunk_id")).select(F.col("query_id").alias("case_id"), "rank", "slug")
+    rel = v.join(retrieve.stated(q.select("query_id", "label")), "label").select(F.col("query_id").alias("case_id"), "slug")
     return evaluate.retrieval_metrics(cap, rel)
 
 
+@query(f"with m as ({SQL['eval_retrieval']}), g as (select vec_id as case_id, label from embeddings where vec_id % 100 = 0) select label, count(*) as cases, round(avg(recall_at_k), 6) as mean_recall_at_k, round(avg(mrr), 6) as mean_mrr, round(avg(ndcg), 6) as mean_ndcg, count(*) filter (mrr >= 0.333) as passed from m join g using (case_id) group by 1")
+def eval_groups(spark, d):
+    groups = _vector_queries(spark, d).select(F.col("query_id").alias("case_id"), F.col("label").alias("group"))
+    return evaluate.group_means(eval_retrieval(spark, d), groups, F.col("mrr") >= 0.333).withColumnRenamed("group", "label")
+
+
 # ---- links and integrity --------------------------------------------------------------------------------------------
 
 
@@ -370,6 +408,18 @@ def import_closure(spark, d):
     return graph.closure(edges, spark.createDataFrame([("concept",)], "node string")).select("node")
 
 
+@query(f"with {PAGES}, p as (select doc_id, replace(replace(replace(coalesce(title, slug), chr(92), chr(92) || chr(92)), '[', chr(92) || '['), ']', chr(92) || ']') as label, maturity, array_to_string(modules, ',') as mods, domain, updated from pages) select doc_id, label, concat_ws(' · ', case when maturity <> '' then '`maturity:' || maturity || '`' end, case when mods <> '' then '`modules:' || mods || '`' end, case when domain <> '' then '`domain:' || domain || '`' end, case when updated <> '' then '`updated:' || updated || '`' end) as line from p")
+def navigation_labels(spark, d):
+    p = pages(spark, d)
+    return p.select("doc_id", text.markdown_label(F.coalesce("title", "slug")).alias("label"), text.navigation_metadata(F.col("maturity"), F.col("modules"), F.col("domain"), F.lit(None).cast("string"), F.col("updated")).alias("line"))
+
+
+@query("select slug, page_type as type, updated_at from documents where page_type in ('project', 'decision') order by updated_at desc nulls last, slug limit 100")
+def listed_pages(spark, d):
+    p = table(spark, d, "documents").select("slug", F.col("page_type").alias("type"), F.lit(None).cast("string").alias("title"), "updated_at")
+    return retrieve.list_pages(p, ["project", "decision"], 100).drop("title")
+
+
 @query(f"with {PAGES} select type, slug, '[[' || slug || ']] ' || coalesce(title, '') as line from pages")
 def navigation_index(spark, d):
     return pages(spark, d).select("type", "slug", F.concat(F.lit("[["), F.col("slug"), F.lit("]] "), F.coalesce("title", F.lit(""))).alias("line")).orderBy("type", "slug")
@@ -616,6 +666,24 @@ def dependency_gate(spark, d):
     return ledger.ready(u, spark.range(0, 38).select(F.col("id").alias("unit"))).select("unit")
 
 
+@query("with s as (select user_id, arg_max(struct_pack(status := event_type, lease := ts + interval 900 second), event_id) as x from events group by 1), n as (select max(ts) as now from events) select x.status as status, count(*) as n, count(*) filter (x.status = 'click' and x.lease >= now) as live, count(*) filter (x.status = 'click' and not coalesce(x.lease >= now, false)) as expired from s, n group by 1")
+def status_counts(spark, d):
+    e = table(spark, d, "events")
+    last = ledger.latest(e.withColumn("status", F.col("event_type")).withColumn("lease_until", F.col("ts") + F.expr("interval 900 seconds")), "user_id", ["event_id"], "status", "lease_until")
+    now = e.agg(F.max("ts").alias("now"))
+    return ledger.status_counts(last.crossJoin(F.broadcast(now)), F.col("now"), "click")  # one row
+
+
+@query("select count(*) as failures, count(*) >= 3 as repeated, case when count(*) >= 3 then max(ts) + interval 60 second end as cooldown_until from events where event_type = 'error' and ts is not null")
+def failure_cooldown(spark, d):
+    return ledger.cooldown(table(spark, d, "events"), F.col("event_type") == "error", "ts")
+
+
+@query("select distinct route_id, domain, coalesce(list_position(['travel', 'education', 'work', 'relationship', 'residence', 'family', 'health', 'finance', 'creation'], domain), 10)::int - 1 as domain_index from routed_episodes")
+def domain_order(spark, d):
+    return ledger.in_domain_order(table(spark, d, "routed_episodes").select("route_id", "domain").distinct())
+
+
 @query("select count(*) filter (event_type <> 'view') as assessed, count(*) filter (event_type <> 'view' and event_type = 'error') as rejected, count(*) filter (event_type <> 'view') >= 3 and count(*) filter (event_type = 'error') / count(*) filter (event_type <> 'view') >= 0.67 as systemic from events")
 def rejected_share(spark, d):
     return ledger.shares(table(spark, d, "events"), F.col("event_type") != "view", F.col("event_type") == "error")
@@ -949,3 +1017,25 @@ def verified_hits(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "slug", F.col("page_type").alias("type"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     now = docs.groupBy("slug").agg(F.min_by("type", "doc_id").alias("type"), F.min("sha").alias("sha"))
     return retrieve.verified(docs, now).select("slug", "type")
+
+
+# ---- asset claims ---------------------------------------------------------------------------------------------------
+
+
+_CLAIMS = """a as (select distinct package_id, json(body) as b from (select * from assets where package_id is not null qualify row_number() over (partition by package_id order by built_at nulls first) = 1) where json_valid(body)),
+l as (select package_id, json_extract(b, '$.self_model') as v from a),
+i as (select package_id, pos, case when json_type(v) = 'ARRAY' then json_extract(v, '$[' || pos || ']') else v end as c from (select package_id, v, unnest(range(case when json_type(v) = 'ARRAY' then json_array_length(v)::bigint else 1 end))::int as pos from l where v is not null))"""
+
+
+def _claims(spark, d):
+    return nested.flat_tables(table(spark, d, "routed_episodes"), table(spark, d, "assets").where("package_id is not null"))["claims"]
+
+
+@query(f"with {_CLAIMS} select package_id, pos, json_extract_string(c, '$.asset_id') as asset_id from i where json_extract_string(c, '$.calibration.behavior_change') = 'true' and json_extract_string(c, '$.calibration.status') = 'ready'")
+def calibration_queue(spark, d):
+    return assets.calibration_queue(_claims(spark, d)).select("package_id", "pos", "asset_id")
+
+
+@query(f"with {_CLAIMS} select package_id, pos, json_extract_string(c, '$.asset_id') as asset_id, json_extract_string(c, '$.statement') as statement, 'card_' || substr(sha256(package_id || chr(31) || coalesce(json_extract_string(c, '$.asset_id'), '')), 1, 20) as card_id from i where json_extract_string(c, '$.confidence') = 'high'")
+def knowledge_cards(spark, d):
+    return assets.knowledge_cards(_claims(spark, d))[0].select("package_id", "pos", "asset_id", "statement", "card_id")

@@ -10,7 +10,7 @@ from tessera.plans import data_queries, reference_queries
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 #: Queries that put a stated set of queries, or a single row, against the whole table.
-STATED = {"substring_occurrences", "lexical_topk", "vector_topk", "rrf_fusion", "lexical_only_fusion", "keyword_hits", "module_boost_rerank", "metadata_match_weights", "route_scores", "route_decision", "eval_retrieval", "runtime_topk", "runtime_answers", "ledger_totals"}
+STATED = {"substring_occurrences", "lexical_topk", "vector_topk", "rrf_fusion", "lexical_only_fusion", "keyword_hits", "module_boost_rerank", "metadata_match_weights", "route_scores", "route_decision", "eval_retrieval", "runtime_topk", "runtime_answers", "ledger_totals", "hybrid_fusion", "verified_metadata", "status_counts"}
 
 
 def plan(df):

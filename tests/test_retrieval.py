@@ -1,5 +1,5 @@
 from pyspark.sql import functions as F
-from tessera.functions.text import normalize_text
+from tessera.functions.text import normalize_each, normalize_text
 from tessera.operators import evaluate, graph, retrieve, route
 
 PAGE = "slug string, type string, title string, aliases array<string>, tags array<string>, modules array<string>, domain string, body string, base_score double, decision_status string"
@@ -65,6 +65,43 @@ def test_metrics(spark):
 VAULT = "slug string, type string, title string, aliases array<string>, related array<string>, evidence array<string>, derived_pages array<string>, body string, fields string, path string"
 
 
+def test_priority_and_personal_signals(spark):
+    page = PAGE + ", agent_priority string, retrieval_evidence string, retrieval_rank int, metadata_verified boolean"
+    base = ("methodology", "习惯", [], ["personal context"], [], None, "b", 0.95, None)
+    pages = [("methods/own", *base, "high", "keyword_exact", 1, True), ("methods/low", *base, "low", "keyword_exact", 1, True), ("methods/far", *base, "high", "keyword_exact", 4, True), ("methods/none", *base, None, None, None, None)]
+
+    def scored(query):
+        q = spark.createDataFrame([(1, query, None, None)], "query_id int, query string, context string, module string")
+        return {r.slug: (r.strong, r.route_score, r.match_reasons) for r in route.score_candidates(q, spark.createDataFrame(pages, page)).collect()}
+
+    asked = scored("请根据我的习惯安排")
+    assert asked["methods/own"] == (True, 90.95, ["high_priority_keyword_match", "high_priority_personal_metadata_match"])
+    assert all(asked[p] == (False, 20.95, ["weak_metadata_match"]) for p in ("methods/low", "methods/far", "methods/none"))
+    plain = scored("习惯如何安排")
+    assert plain["methods/own"][2] == ["high_priority_keyword_match"]
+    ruled_out = scored("不要参考我的习惯")
+    assert ruled_out["methods/own"] == (False, 20.95, ["personal_context_explicitly_excluded", "weak_metadata_match"])
+    q = spark.createDataFrame([(1, "x", None, None)], "query_id int, query string, context string, module string")
+    assert route.route(q, route.score_candidates(q, spark.createDataFrame(pages, page)), available=False).first()["reason_codes"] == ["retrieval_unavailable"]
+
+
+def test_nearest_keeps_ties_and_nulls_out(spark):
+    rows = [(f"s{i}", str(i), [float(i % 7), 1.0]) for i in range(200)] + [("null", "n", None)]
+    chunks = spark.createDataFrame(rows, "slug string, chunk_id string, vector array<float>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 2.0]), (3, None)], "query_id long, vector array<float>")
+    order = (F.desc("score"), F.asc("chunk_id"))
+    got = sorted((r.query_id, r["rank"], r.chunk_id) for r in retrieve.top_k(retrieve.nearest(queries, chunks, 40), 40, *order).collect())
+    want = sorted((r.query_id, r["rank"], r.chunk_id) for r in retrieve.top_k(retrieve.vector_scores(queries, chunks).where("score is not null"), 40, *order).collect())
+    assert got == want and len(got) == 80
+    assert retrieve.nearest(queries.where("false"), chunks, 5).count() == 0 and retrieve.nearest(queries, chunks.where("false"), 5).count() == 0
+
+
+def test_aliases_of_any_form(spark):
+    p = spark.createDataFrame([("a/x", ["Ｎｉｍｂｕｓ  Console", None, ""]), ("a/y", None)], "slug string, aliases array<string>")
+    got = p.select(normalize_each(F.col("aliases")).alias("n"), normalize_each(F.col("aliases"), False).alias("m")).collect()
+    assert got[0].n == ["nimbus console", "", ""] and got[0].m == ["ｎｉｍｂｕｓ console", "", ""] and got[1].n == [] == got[1].m
+
+
 def test_links(spark):
     rows = [
         ("methods/alpha", "methodology", "Alpha 方法", ["Alpha"], [], ["[[sources/source-one]]", "source-two"], [], "# A\n[[gone]]", "{}", "methods/alpha.md"),
