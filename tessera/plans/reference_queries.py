@@ -868,10 +868,10 @@ def reused_embeddings(spark, d):
     return docs.join(docs.where("doc_id % 3 = 0").select("h").distinct(), "h", "left_semi").select("doc_id")
 
 
-@query("select count(*) as rows_, count(distinct slug) as n from documents where slug is not null".replace("rows_", "n_rows"))
+@query(f"with {PAGES}, m as (select slug, md5(coalesce(slug, '') || chr(31) || coalesce(title, '')) as h from pages) select count(*) as n_rows, count(distinct slug) as n, sha256(count(*) || '|' || sum(('0x' || substr(h, 1, 15))::bigint::hugeint)::varchar || '|' || bit_xor(('0x' || substr(h, 17, 15))::bigint)::varchar) as digest from m")
 def metadata_universe(spark, d):
     p = pages(spark, d)
-    return p.agg(digests.group_digest(F.col("slug"), F.col("title")).alias("x"), F.count("*").alias("n_rows"), F.count_distinct("slug").alias("n")).select("n_rows", "n")
+    return p.agg(F.count("*").alias("n_rows"), F.count_distinct("slug").alias("n"), digests.group_digest(F.col("slug"), F.col("title")).alias("digest"))
 
 
 # ---- quality --------------------------------------------------------------------------------------------------------
@@ -994,11 +994,20 @@ def scope_progress(spark, d):
     return gates.progress(table(spark, d, "customer").select(F.col("c_custkey").alias("unit")), s, ["purchase"])
 
 
-@query()
+#: A schema pack with faults of most kinds.
+_TYPES = [(name, prefix) for name, prefix, *_ in markdown.PAGE_TYPES] + [("project", "plans/"), ("archive", "projects/old/"), ("memo", "Memos")]
+_PAIRS = [*graph.INVERSE.items(), ("uses", "applies_to"), ("superseded_by", "supersedes"), ("required_by", "depends_on"), ("cites", "cited_by"), ("uses", "applies_to")]
+_RULES = [*graph.LINK_RULES, ("ghost", "sources", "cites"), ("project", "plans", "unknown_link")]
+
+
+@query(f"""with t(type, prefix) as (values {", ".join(map(str, _TYPES))}), l(link, inverse) as (values {", ".join(map(str, _PAIRS))}), r(type, field, link_type) as (values {", ".join(map(str, _RULES))})
+select 'repeated_type' as code, type as detail from t group by type having count(*) > 1 union select 'repeated_prefix', prefix from t group by prefix having count(*) > 1
+union select 'prefix_inside_prefix', a.prefix from t a join t b on a.type <> b.type and starts_with(a.prefix, b.prefix) union select 'bad_prefix', prefix from t where not regexp_matches(prefix, '^[a-z0-9-]+(/[a-z0-9-]+)*/$')
+union select 'inverse_without_answer', link from l a where not exists (select 1 from l b where b.link = a.inverse and b.inverse = a.link) union select 'repeated_link', link from l group by link having count(*) > 1
+union select 'rule_of_unknown_type', type from r where type not in (select type from t) union select 'rule_of_unknown_link', link_type from r where link_type not in (select link from l)""")
 def schema_pack_check(spark, d):
-    links = spark.createDataFrame(list(graph.INVERSE.items()) + [("uses", "applies_to"), ("superseded_by", "supersedes"), ("required_by", "depends_on")], "link string, inverse string")
-    rules = spark.createDataFrame(graph.LINK_RULES, "type string, field string, link_type string")
-    return gates.pack_violations(markdown.page_types(spark), links, rules)
+    types = spark.createDataFrame(_TYPES, "type string, prefix string")
+    return gates.pack_violations(types, spark.createDataFrame(_PAIRS, "link string, inverse string"), spark.createDataFrame(_RULES, "type string, field string, link_type string"))
 
 
 @query("select route_id, octet_length(encode(events_json)) as bytes, octet_length(encode(events_json)) <= 600 as fits from (select route_id, '{\"domain\":' || coalesce('\"' || domain || '\"', 'null') || ',\"route_id\":\"' || route_id || '\"}' as events_json from routed_episodes)")
