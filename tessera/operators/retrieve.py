@@ -12,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.text import cjk_ngrams, count_occurrences, latin_terms, normalize_each, normalize_text, query_terms
+from tessera.functions.text import cjk_ngrams, latin_terms, normalize_each, normalize_text, query_terms
 from tessera.functions.vectors import dot
 
 MAX_QUERIES = 100_000
-#: Query vectors that one call takes.
+#: Terms and query vectors that one call takes.
+TERM_BYTES = 64 << 20
 QUERY_BYTES = 64 << 20
 
 
@@ -32,25 +34,71 @@ def _joined(*cols: Column) -> Column:
     return F.concat_ws(" ", *cols)
 
 
+def _scan(batches, asked: list[tuple[int, list[tuple[str, float]]]], shown: int = 20):
+    """Scores of the queries (place, terms with weights) whose terms occur in a row; one pass of an automaton over each text, whatever the number of queries."""
+    import math
+
+    import ahocorasick
+
+    of_term: dict[str, list[tuple[int, int, float]]] = {}
+    for q, terms in asked:
+        for i, (term, weight) in enumerate(terms):
+            if term:
+                of_term.setdefault(term, []).append((q, i, weight))
+    automaton = ahocorasick.Automaton()
+    for term in of_term:
+        automaton.add_word(term, term)
+    if of_term:
+        automaton.make_automaton()
+
+    def counts(text: str) -> dict[str, int]:
+        """Occurrences of each term that don't overlap, from the left."""
+        n: dict[str, int] = {}
+        free: dict[str, int] = {}
+        for end, term in automaton.iter(text) if of_term else ():
+            if end + 1 - len(term) >= free.get(term, 0):
+                n[term] = n.get(term, 0) + 1
+                free[term] = end + 1
+        return n
+
+    for batch in batches:
+        rows, who, scores, terms = [], [], [], []
+        for i, (body, named, metadata) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("body", "named", "metadata")))):
+            in_body, in_named, in_metadata = counts(body), counts(named), counts(metadata)
+            per: dict[int, list[tuple[int, float, str]]] = {}
+            for term in in_body.keys() | in_named.keys() | in_metadata.keys():
+                v = (8.0 if term in in_named else 0.0) + (3.0 if term in in_metadata else 0.0) + (1 + math.log1p(in_body[term]) if term in in_body else 0.0)
+                for q, place, weight in of_term[term]:
+                    per.setdefault(q, []).append((place, weight * v, term))
+            for q, found in per.items():
+                found.sort()
+                rows.append(i)
+                who.append(q)
+                scores.append(sum(x for _, x, _ in found))
+                terms.append([t for _, _, t in found[:shown]])
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int32()), batch.column("slug").take(at), batch.column("chunk_id").take(at), pa.array(scores, pa.float64()), pa.array(terms, pa.list_(pa.string()))], names=["_q", "slug", "chunk_id", "score", "matched_terms"])
+
+
 def lexical_scores(queries: DataFrame, chunks: DataFrame, compatible: bool = True) -> DataFrame:
     """Hits (query_id, slug, chunk_id, score, matched_terms). queries: query_id, query. chunks: slug, chunk_id, text, title, aliases, tags, modules, domain.
 
     A term's weight counts 8 in title or aliases, 3 in other metadata, and 1 + ln(1 + occurrences) in the text. Scores have nine places, so that ties don't hang on the order of a sum.
+    The stated queries (at most MAX_QUERIES and TERM_BYTES of terms) become one automaton; a text is scanned once and only hits leave its task.
     """
     fold = (lambda c: F.lower(normalize_form(c))) if compatible else (lambda c: F.lower(F.coalesce(c, F.lit(""))))
-    terms = stated(queries.select("query_id", F.map_entries(query_terms(F.col("query"), compatible)).alias("terms")))
+    terms = queries.select("query_id", F.map_entries(query_terms(F.col("query"), compatible)).alias("terms"))
+    rows = terms.limit(MAX_QUERIES + 1).collect()  # the stated queries
+    if len(rows) > MAX_QUERIES or sum(len(t["key"]) + 16 for r in rows for t in r["terms"]) > TERM_BYTES:
+        raise ValueError(f"more than {MAX_QUERIES} queries or {TERM_BYTES} bytes of terms in one call")
+    asked = [(i, [(t["key"], t["value"]) for t in r["terms"]]) for i, r in enumerate(rows)]
     body = chunks.select(
         "slug", "chunk_id", fold(F.col("text")).alias("body"), fold(_joined(F.col("title"), F.array_join("aliases", " "))).alias("named"),
         fold(_joined(F.col("slug"), F.array_join("tags", " "), F.array_join("modules", " "), F.col("domain"))).alias("metadata"),
     )
-
-    def value(t):
-        n = count_occurrences(F.col("body"), t["key"])  # counted only where the term occurs at all
-        v = F.when(F.contains("named", t["key"]), 8.0).otherwise(0.0) + F.when(F.contains("metadata", t["key"]), 3.0).otherwise(0.0) + F.when(F.contains("body", t["key"]), 1 + F.log1p(n.cast("double"))).otherwise(0.0)
-        return F.struct(t["key"].alias("term"), (t["value"] * v).alias("v"))
-
-    scored = body.crossJoin(terms).withColumn("parts", F.filter(F.transform("terms", value), lambda p: p["v"] > 0))
-    return scored.where(F.size("parts") > 0).select("query_id", "slug", "chunk_id", F.round(F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["v"]), 9).alias("score"), F.slice(F.transform("parts", lambda p: p["term"]), 1, 20).alias("matched_terms"))
+    hits = body.mapInArrow(partial(_scan, asked=asked), "_q int, slug string, chunk_id string, score double, matched_terms array<string>")
+    ids = queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], T.StructType([T.StructField("_q", T.IntegerType()), queries.schema["query_id"]]))
+    return hits.join(F.broadcast(ids), "_q").select("query_id", "slug", "chunk_id", F.round("score", 9).alias("score"), "matched_terms")  # at most MAX_QUERIES rows
 
 
 def normalize_form(c: Column) -> Column:

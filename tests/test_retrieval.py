@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 from tessera.functions.text import normalize_each, normalize_text
 from tessera.operators import evaluate, graph, retrieve, route
@@ -96,6 +98,16 @@ def test_nearest_keeps_ties_and_nulls_out(spark):
     assert retrieve.nearest(queries.where("false"), chunks, 5).count() == 0 and retrieve.nearest(queries, chunks.where("false"), 5).count() == 0
 
 
+def test_lexical_scores_against_the_rule(spark):
+    rows = [("a/x", "1", "aaaa runtime 笔记笔记 aa", "Runtime", ["笔记"], ["t"], [], "d"), ("b/y", "2", None, None, None, None, None, None), ("c/runtime", "3", "RUNTIME runtime", None, [], [], [], None)]
+    c = spark.createDataFrame(rows, "slug string, chunk_id string, text string, title string, aliases array<string>, tags array<string>, modules array<string>, domain string")
+    q = spark.createDataFrame([("q1", "aa runtime 笔记"), ("q2", ""), ("q3", None), ("q4", "absent")], "query_id string, query string")
+    ln = lambda n: 1 + math.log1p(n)
+    got = {(r.query_id, r.chunk_id): (r.score, r.matched_terms) for r in retrieve.lexical_scores(q, c).collect()}
+    assert got == {("q1", "1"): (round(2 * ln(3) + 3 * (8 + ln(1)) + 8 + ln(2), 9), ["aa", "runtime", "笔记"]), ("q1", "3"): (round(3 * (3 + ln(2)), 9), ["runtime"])}
+    assert retrieve.lexical_scores(q.where("false"), c).count() == 0
+
+
 def test_aliases_of_any_form(spark):
     p = spark.createDataFrame([("a/x", ["Ｎｉｍｂｕｓ  Console", None, ""]), ("a/y", None)], "slug string, aliases array<string>")
     got = p.select(normalize_each(F.col("aliases")).alias("n"), normalize_each(F.col("aliases"), False).alias("m")).collect()
