@@ -117,3 +117,18 @@ def test_index_generations(spark, tmp_path):
     assert sinks.current_generation(spark, f"{tmp_path}/ix") == "g2"
     assert sinks.reconcile(stored, later.select("chunk_id", "text")).count() == 0
     assert sinks.reconcile(stored, chunks).count() == 1
+    assert sinks.load_generation(spark, f"{tmp_path}/ix").count() == 3 and sinks.load_generation(spark, f"{tmp_path}/ix", "g1").count() == 2
+    # rows that are lost make the next generation a full one; two generations stay
+    later.withColumn("input_hash", F.lit("x")).withColumn("vector", embed(F.col("text"))).limit(1).write.mode("overwrite").parquet(f"{tmp_path}/ix/g2")
+    assert not sinks.intact(spark, f"{tmp_path}/ix", "g2")
+    with pytest.raises(ValueError):
+        sinks.load_generation(spark, f"{tmp_path}/ix")
+    again = sinks.synchronize(later, f"{tmp_path}/ix", "g3", "g2", lambda c: F.array(F.lit(9.0).cast("float"), F.lit(0.0).cast("float")))
+    assert {r.vector[0] for r in again.collect()} == {9.0} and not (tmp_path / "ix" / "g1").exists() and (tmp_path / "ix" / "g2").exists()
+
+
+def test_no_release_with_private_keys(spark, tmp_path):
+    df = spark.createDataFrame([("r1", '{"note": 1, "api_key": "k"}'), ("r2", None)], "record_id string, authored_text string")
+    with pytest.raises(ValueError, match="authored_text.api_key"):
+        sinks.build_release(df, f"{tmp_path}/rel", "g1")
+    assert not (tmp_path / "rel").exists()
